@@ -17,6 +17,9 @@ sequence; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +32,59 @@ from pyspark.sql import functions as F
 END_ID = 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Rests that wait in a task at most; words whose ids a task remembers at most; texts' bytes encoded at once.
-POOL, WORDS, CHUNK = 4096, 400_000, 4 << 20
+POOL, WORDS, CHUNK = 4096, 300_000, 4 << 20
+
+
+class PieceEncoder:
+    """Ids of many words at once for a word-end BPE file that lower-cases, splits as PIECES says and drops white space.
+
+    The file's vocabulary serves as ranks of byte strings; the word end is one more
+    byte, which always merges first because its merges with single bytes rank first.
+    Gives the ids that the tokenizer itself gives for words of characters below
+    U+0300 without END, separators (U+001C to U+001F) and the start of a special token.
+    """
+
+    #: The split pattern of word-end BPE files, here with the space that separates words.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    END, SUFFIX = "\x01", "</w>"
+
+    def __init__(self, spec: dict):
+        import tiktoken
+
+        # PIECES without property classes: below U+0300 the numbers that are no digits are named
+        self.find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+| ").findall
+        self.odd = re.compile(r"[\x01\x1c-\x1f\u0300-\U0010ffff]|<\|").search
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        odd = [b for b in range(256) if b not in set(plain)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
+        ranks = {}
+        for token, i in spec["model"]["vocab"].items():
+            ends = token.endswith(self.SUFFIX) and token != self.SUFFIX
+            ranks[bytes(byte_of[c] for c in token.removesuffix(self.SUFFIX if ends else "")) + self.END.encode() * ends] = i
+        self.space = ranks[b" " + self.END.encode()]
+        self.encode = tiktoken.Encoding("words", pat_str=f"[^{self.END}]*{self.END}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    @classmethod
+    def made_for(cls, spec: dict) -> bool:
+        kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        model = spec.get("model", {})
+        fits = kinds == ["NFC", "Replace", "Lowercase"] and first.get("pattern", {}).get("Regex") == cls.PIECES and first.get("behavior") == "Removed" and first.get("invert") is True
+        return fits and model.get("type") == "BPE" and model.get("end_of_word_suffix") == cls.SUFFIX and not model.get("dropout") and not model.get("ignore_merges")
+
+    def takes(self, words: list[str]) -> list[str]:
+        """Those of the words that ids() may be asked for."""
+        return words if not self.odd(" ".join(words)) else [w for w in words if not self.odd(w)]
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The little-endian 32-bit ids of each word; words hold no space."""
+        if not words:
+            return []
+        pieces = self.find(" ".join(words).lower() + " ")
+        ids = np.array(self.encode(self.END.join(pieces) + self.END), "<u4")
+        ends = np.flatnonzero(ids == self.space)
+        raw, starts = ids.tobytes(), np.r_[0, ends[:-1] + 1]
+        return [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
 class WordCache:
@@ -43,18 +98,33 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.fast = PieceEncoder(spec) if PieceEncoder.made_for(spec) else None
+
+    @staticmethod
+    @functools.lru_cache(1)
+    def of(path: str) -> WordCache:
+        """One for each process; later tasks of a worker go on with its words."""
+        return WordCache(path)
+
+    def learn(self, words: list[str]) -> None:
+        slow = words
+        if self.fast:
+            quick = self.fast.takes(words)
+            self.known.update(zip(quick, self.fast.ids(quick)))
+            slow = [w for w in words if w not in self.known] if len(quick) < len(words) else []
+        for word, found in zip(slow, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False)):
+            self.known[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = set().union(*split) - known.keys()
-        if len(known) + len(new) > WORDS:
-            known.clear()
+        new = set().union(*split) - self.known.keys()
+        if len(self.known) + len(new) > WORDS:
+            self.known.clear()
             new = set().union(*split)
-        new = list(new)
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-        get = known.__getitem__
+        self.learn(list(new))
+        get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
@@ -156,7 +226,7 @@ def _pack(tokenizer: str, tokens: int, segments: int, loss: int, loss_from: bool
     schema = pa.schema([(x.split()[0], pa.int64()) for x in PIECE.split(", ")])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer)
+        cache = WordCache.of(tokenizer)
         packer = Packer(tokens, segments, loss, TaskContext.get().partitionId() << 40)
 
         def rows() -> pa.RecordBatch:
