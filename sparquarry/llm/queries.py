@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, packing, topk
+from . import exact_dedup, html_extract, jaccard, line_dedup, lm_scoring, mixing, packing, suffix_dedup, topk
+from . import quality as ranking
 from .common import read
 
 
@@ -12,6 +13,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_bilstm_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(read(spark, sf_dir, "documents")).drop("rkey", "uid")
+
+
+def op5_parity_sketch_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(read(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return line_dedup.digest_kept(docs, line_dedup.line_dedup(docs))
@@ -23,6 +40,15 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels")
+    return lm_scoring.lm_scores(read(spark, sf_dir, "documents"), labels.where("quality = 1 AND toxic = 0"))
+
+
+def op9_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(topk.build_index(read(spark, sf_dir, "embeddings")), every=50, k=5)
 
