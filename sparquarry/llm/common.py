@@ -25,22 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's own setting; shuffle files of a finished command go at once instead of with the driver's garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage in a way that outlives lost executors."""
+    """Write to the shared folder and read back: cuts lineage in a way that outlives lost executors.
+
+    Once the table is written nothing needs the shuffles that led to it, so they are removed.
+    """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of finished steps go when the driver collects its garbage; ask for it before the next large step."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
