@@ -226,7 +226,9 @@ def count_unigrams(rows: DataFrame, bits: int = VOCABULARY) -> Unigrams:
 def lm_scores(docs: DataFrame, targets: DataFrame, bits: int = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for every row.  targets: doc_id of the target documents."""
     marked = targets.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(marked, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # merged by id whatever the size: a task's rows then come in the same order when it runs again
+    rows = rows.join(marked.hint("merge"), "doc_id", "left")
     rows = materialise(rows.withColumn("target", F.coalesce("target", F.lit(False))), "marked", compression="zstd")
     unigrams = count_unigrams(rows, bits)
     buckets = int(max(2 * shuffle_partitions(docs.sparkSession), -(-int(unigrams.counts[1].sum()) // BUCKET)))
