@@ -296,23 +296,41 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _cross(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a tile of a list that are in different components, pruned by size and by Hamming distance."""
-    t, u = frame["t"].iloc[0], frame["u"].iloc[0]
-    here = frame["tile"].to_numpy()
-    own, comp, doc, n = (frame[c].to_numpy() for c in ("own", "comp", "doc", "n"))
+def _cross_sorted(frame: pd.DataFrame) -> pd.DataFrame:
+    """Pairs within tiles of lists that are in different components, pruned by size and by Hamming distance.
+
+    Rows of a tile stand together; a row meets the next, the next but one and so on of its tile, for all tiles at once.
+    """
+    group = np.cumsum(np.r_[True, (frame[["list", "t", "u"]].to_numpy()[1:] != frame[["list", "t", "u"]].to_numpy()[:-1]).any(1)])
+    own, comp, doc, n, tile = (frame[c].to_numpy() for c in ("own", "comp", "doc", "n", "tile"))
+    same_tile = (frame["t"] == frame["u"]).to_numpy()
     sketches = list(frame["sketch"])
-    left, right = np.flatnonzero(here == t), np.flatnonzero(here == u)
-    out = []
-    size = min(map(len, sketches))
-    flat = np.stack([fold(s, size) for s in sketches])
-    for i in left:
-        js = right[right > i] if t == u else right
-        js = js[(comp[js] != comp[i]) & (own[js] | own[i]) & (5 * np.minimum(n[js], n[i]) >= 4 * np.maximum(n[js], n[i])) & (doc[js] != doc[i])]
-        if len(js):
-            js = js[9 * np.bitwise_count(flat[js] ^ flat[i]).sum(1, dtype=np.int64) <= n[js] + n[i]]
-        out += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in js if len(sketches[i]) == size or _hamming_ok(sketches[i], sketches[j], n[i], n[j])]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    last = np.searchsorted(group, group, "right") - 1
+    out, left = [], np.arange(len(frame))
+    step = 1
+    while len(left := left[left + step <= last[left]]):
+        right = left + step
+        ok = (comp[left] != comp[right]) & (own[left] | own[right]) & (same_tile[left] | (tile[left] != tile[right])) & (doc[left] != doc[right])
+        ok &= 5 * np.minimum(n[left], n[right]) >= 4 * np.maximum(n[left], n[right])
+        out += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for i, j in zip(left[ok], right[ok]) if _hamming_ok(sketches[i], sketches[j], n[i], n[j])]
+        step += 1
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+
+
+def _cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = None
+    for frame in frames:
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        # the last tile may go on in the next batch
+        end = frame.iloc[-1]
+        tail = (frame["list"] == end["list"]) & (frame["t"] == end["t"]) & (frame["u"] == end["u"])
+        held = frame[tail]
+        if not tail.all():
+            yield _cross_sorted(frame[~tail])
+    if held is not None and len(held):
+        yield _cross_sorted(held)
 
 
 class Join:
@@ -380,7 +398,8 @@ class Join:
         tiles = F.ceil(F.col("size") / TILE).cast("int")
         rest = rest.withColumn("tile", F.pmod(F.xxhash64("doc"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
         rest = rest.withColumn("t", F.least("tile", "other")).withColumn("u", F.greatest("tile", "other"))
-        return rest.groupBy("list", "t", "u").applyInPandas(_cross, "a long, b long")
+        dealt = rest.select("list", "t", "u", "tile", "own", "comp", "doc", "n", "sketch").repartition("list", "t", "u").sortWithinPartitions("list", "t", "u")
+        return dealt.mapInPandas(_cross, "a long, b long")
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row."""
