@@ -82,7 +82,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndar
     total = np.zeros(len(h), np.uint64)
     for k in range(n):
         word = np.zeros(len(h), np.uint64)
-        word[: len(h) - k] = h[k:]
+        word[: max(len(h) - k, 0)] = h[k:]
         total = np.where(k < room, total * np.uint64(0xD6E8FEB86659FD93) + word, total)
     total = mix64(total + np.minimum(room, n).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     starts_here = (room >= n) | (rank == 0)
