@@ -508,12 +508,13 @@ QRELS = "qrels AS (SELECT item_id AS query_id, doc_id AS doc, 1 AS rel FROM benc
 
 def run_and_qrels(spark, sf) -> tuple[DataFrame, DataFrame]:
     run = QUERIES["bm25_batch"](spark, sf).withColumnRenamed("frame_id", "doc")
-    # passages and documents meet on a passage's first eight words, then whole
+    # passages and documents meet on a passage's first four words, then whole
     b = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    first = lambda c: F.split(c, " ")
-    b = b.withColumn("start", F.array_join(F.slice(first(F.col("passage")), 1, 4), " "))
+    b = b.withColumn("start", F.array_join(F.slice(F.split("passage", " "), 1, 4), " "))
     d = read(spark, sf, "documents").select("doc_id", "text")
-    starts = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split("text", "[ \n]")) - 3)), lambda i: F.array_join(F.slice(F.split("text", "[ \n]"), i, 4), " ")))).alias("start"))
+    w = F.split("text", "[ \n]")
+    shifted = F.arrays_zip(*[F.slice(w, i + 1, F.size(w)).alias(f"w{i}") for i in range(4)])
+    starts = d.select("doc_id", F.explode(shifted).alias("z")).select("doc_id", F.concat_ws(" ", *[F.col(f"z.w{i}") for i in range(4)]).alias("start")).distinct()
     met = starts.join(b, "start").join(d, "doc_id").where(F.contains("text", "passage"))
     return run, met.select("query_id", F.col("doc_id").alias("doc"), F.lit(1).alias("rel")).distinct()
 
