@@ -2,8 +2,9 @@
 
 A source's weight is its share of tokens to the power a, normalised: a = 1 is the
 natural mix, a = 0 the uniform one.  The exponent is bisected until the mix has
-the target entropy (a share of the largest possible), or is the most uniform that
-repeats no source more than max_repeats times, whichever exponent is larger.
+the target entropy (a share of the largest possible; a natural mix that has more
+stays as it is), or is the most uniform that repeats no source more than
+max_repeats times, whichever exponent is larger.
 With a budget of tokens each source gets its weight of it: whole passes, each a
 permutation of the source's documents in blocks, and a last pass that stops where
 the budget is used up.  By default the budget is the least that keeps every

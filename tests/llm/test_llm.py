@@ -269,7 +269,8 @@ def test_mixing(spark, docs, none):
     big = spark.range(0, 4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") < 3000, F.lit("hot")).when(F.col("id") < 3800, F.lit("mid")).otherwise(F.lit("low")).alias("source"), F.lit(5).cast("long").alias("n_chars"))
     totals = big.groupBy("source").agg((3 * F.count("*")).alias("tokens"))
     p = np.array([3000, 800, 200]) / 4000
-    for target in (0.6, 0.8, 0.95):
+    assert mixing.exponent(totals, 0.6, None) == 1.0  # the natural mix has more
+    for target in (0.7, 0.8, 0.95):
         q = p ** mixing.exponent(totals, target, None)
         q /= q.sum()
         assert -(q * np.log(q)).sum() / np.log(3) == pytest.approx(target, abs=1e-4)
