@@ -9,6 +9,7 @@ same postings.
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import time
 import uuid
@@ -33,7 +34,7 @@ TABLES = {
     "doc_stats": "text_space string, frame_id long, total_terms int, unique_terms int",
     "vectors": "space string, vector_id long, frame_id long, collection string, code binary, sketch array<long>, embedding array<float>",
 }
-EMPTY = {"generation": 0, "tables": {t: [] for t in TABLES}, "collections": {}, "bases": {}, "spaces": {}, "next_frame": 1, "next_vector": 1}
+EMPTY = {"generation": 0, "tables": {t: [] for t in TABLES}, "collections": {}, "bases": {}, "spaces": {}, "profiles": {}, "next_frame": 1, "next_vector": 1}
 
 
 class Snapshot:
@@ -163,6 +164,53 @@ class Snapshot:
 
     # search
 
+    def profile(self, name: str) -> scorers.Scorer | fusion.FusionProfile:
+        doc = self.manifest["profiles"].get(name)
+        if doc is None:
+            raise StoreError(f"unknown profile {name!r}")
+        kind = scorers.Scorer if doc["kind"] == "scorer" else fusion.FusionProfile
+        known = {k: tuple(v) if isinstance(v, list) else v for k, v in doc.items() if k != "kind"}
+        return kind(**known)
+
+    def query_text(self, collection: str, query: str, scorer: scorers.Scorer | str, k: int | None = 10, channel_k: int | None = None) -> DataFrame:
+        """One scorer, given or a profile's, over a collection: rank, frame_id, score; with channel_k by votes first."""
+        scorer = self.profile(scorer) if isinstance(scorer, str) else scorer
+        if not isinstance(scorer, scorers.Scorer):
+            raise StoreError("the profile is no scorer")
+        index = self.text_index(collection)
+        if channel_k is not None:
+            found = scorers.approximate_search(index, query, scorer, k or scorers.BM25_DEFAULT_TOP, channel_k)
+            found = found.join(self.frames(collection).select("frame_id"), "frame_id", "left_semi")
+        else:
+            found = scorers.search(index, {0: query}, scorer, k, self.frames(collection))
+        return found.select("rank", "frame_id", "score")
+
+    def query_vector(self, collection: str, field: str, query, k: int = 10, channel_k: int | None = None, rerank: str = "full") -> DataFrame:
+        """vector_id, distance, frame_id of the nearest; smaller is nearer."""
+        f = self._vector_field(collection, field)
+        if len(query) != f.dim:
+            raise StoreError(f"the query has {len(query)} components, field {field!r} {f.dim}")
+        space = self.space_of(collection, f)
+        rows = self.vectors(space).where(F.col("collection") == collection)
+        if f.codec is None:
+            near = vector_search.nearest(rows, list(query), k, f.metric)
+        else:
+            near = codecs.code_search(rows, self._codec(space), list(query), k, channel_k=channel_k, metric=f.metric, rerank=rerank)
+        return near.join(rows.select("vector_id", "frame_id"), "vector_id").orderBy("distance", "vector_id")
+
+    def query_hybrid(self, collection: str, query: str, scorer: scorers.Scorer | str, field: str, vector, profile: fusion.FusionProfile | str, k: int = 10, channel_k: int = 100) -> DataFrame:
+        """frame_id, score: a text and a vector channel of channel_k rows each, fused by a profile."""
+        profile = self.profile(profile) if isinstance(profile, str) else profile
+        scorer = self.profile(scorer) if isinstance(scorer, str) else scorer
+        name = "bm25" if scorer.name == "bm25" else "tfidf" if scorer.name.startswith(("tfidf", "count")) else "jaccard"
+        text = self.query_text(collection, query, scorer, channel_k).select("frame_id", "score")
+        near = self.query_vector(collection, field, vector, channel_k).groupBy("frame_id").agg(F.min("distance").alias("score"))
+        return fusion.fuse(profile, {name: text, "vector": near}, k)
+
+    def explain(self, collection: str, search: Search) -> str:
+        """The physical plan of a search, for tracing."""
+        return self.search(collection, search)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
     def text_index(self, collection: str) -> TextIndex:
         field = self.schema(collection).text_field
         if field is None:
@@ -273,6 +321,14 @@ class Store:
     def partitioned(self, base: str, schema: Schema, kind: str) -> None:
         self.declared.setdefault("bases", {})[base] = {"kind": kind, "schema": schema.to_json()}
 
+    def register_profile(self, name: str, profile: scorers.Scorer | fusion.FusionProfile) -> None:
+        """Keeps a scorer's or a fusion's settings by name, from the next commit on; a name keeps its settings."""
+        doc = dataclasses.asdict(profile) | {"kind": "scorer" if isinstance(profile, scorers.Scorer) else "fusion"}
+        doc = json.loads(dumps(doc))
+        if (self.manifest["profiles"] | self.declared.get("profiles", {})).get(name, doc) != doc:
+            raise StoreError(f"profile {name!r} exists with other settings")
+        self.declared.setdefault("profiles", {})[name] = doc
+
     def writer(self) -> Writer:
         out = self.try_writer()
         if out is None:
@@ -450,6 +506,7 @@ class Writer:
         store, manifest = self.store, json.loads(json.dumps(self.store.manifest))
         manifest["collections"] |= store.declared.get("collections", {})
         manifest["bases"] |= store.declared.get("bases", {})
+        manifest["profiles"] |= store.declared.get("profiles", {})
         if manifest == store.manifest and not self.staged and not self.forget:
             return {"changed": False, "generation": manifest["generation"]}
         snap = Snapshot(store.spark, store.root, manifest)

@@ -5,7 +5,9 @@ import pytest
 
 from sparquarry.cli import main
 from sparquarry.functions.text import Analyzer, UnsupportedError
+from sparquarry.operators.fusion import FusionProfile
 from sparquarry.operators.partitions import TimeWindow
+from sparquarry.operators.scorers import Scorer
 from sparquarry.plans.schema import Busy, NotCalibrated, Record, Schema, SchemaMismatch, StoreError, decode_key, encode_key
 from sparquarry.plans.search import HalfLife, Range, Rrf, RrfChannel, Search, Weighted
 from sparquarry.plans.store import Loader, Store
@@ -166,6 +168,26 @@ def test_vectors_and_hybrid_search(store):
     assert [s["name"] for s in snap.spaces()] == ["~auto/c/dense"]
 
 
+def test_profiles_and_engine_queries(store):
+    store.register_profile("lex", Scorer("bm25", k1=1.5))
+    store.register_profile("mix", FusionProfile((1.0, 0.0, 0.0, 1.0), "rrf", 60))
+    with pytest.raises(StoreError):
+        store.register_profile("lex", Scorer("bm25"))
+    put(store, "c", [Record(i, {"body": "alpha " * (i + 1) + "beta", "dense": unit(i)}, i) for i in range(12)], BOTH)
+    snap = Store(store.spark, store.root).reader()
+    assert snap.profile("lex") == Scorer("bm25", k1=1.5) and snap.profile("mix").rrf_k == 60
+    exact = [tuple(r) for r in snap.query_text("c", "alpha", "lex", 5).collect()]
+    assert [tuple(r) for r in snap.query_text("c", "alpha", "lex", 5, channel_k=100).orderBy("rank").collect()] == sorted(exact) and len(exact) == 5
+    assert snap.query_vector("c", "dense", unit(4), 3).first()["frame_id"] == 5
+    both = snap.query_hybrid("c", "alpha", "lex", "dense", unit(4), "mix", 4).collect()
+    assert len(both) == 4 and both[0]["score"] <= round(2 / 61, 6)
+    assert "Scan parquet" in snap.explain("c", Search().text("body", "alpha"))
+    with pytest.raises(StoreError, match="unknown profile"):
+        snap.query_text("c", "alpha", "nope")
+    with pytest.raises(StoreError, match="no scorer"):
+        snap.query_text("c", "alpha", "mix")
+
+
 def test_uncalibrated_spaces(store):
     put(store, "c", [Record("a", {"body": "x"}, 1)], BOTH)
     with pytest.raises(NotCalibrated, match="not calibrated"):
