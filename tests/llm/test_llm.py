@@ -126,6 +126,25 @@ def test_jaccard_of_random_families(spark, seed):
     assert by_id(jaccard.jaccard_classes(spark.createDataFrame(out, "doc_id long, text string")), "n_shingles", "component_id") == brute.classes(out)
 
 
+def test_jaccard_of_one_large_family_over_band_edges(spark):
+    """Copies of many lengths and edits: most pairs are near the threshold, in lists of two bands."""
+    rng, out, base = np.random.default_rng(5), [], prose(9, 150, 5000).split(" ")
+    for i in range(150):
+        w = base[: int(rng.integers(96, 151))]
+        for _ in range(int(rng.integers(0, 5))):
+            w[int(rng.integers(len(w)))] = f"new{rng.integers(10**6)}"
+        out.append((1000 - i, " ".join(w)))
+    expected = brute.classes(out)
+    assert len({c for _, c in expected.values()}) > 1
+    df = spark.createDataFrame(out, "doc_id long, text string").repartition(6)
+    assert by_id(jaccard.jaccard_classes(df), "n_shingles", "component_id") == expected
+    # every link between different components' pairs is verified: without the first round nothing is lost either
+    join = jaccard.Join(df)
+    links = {(r["a"], r["b"]) for r in join.links().collect()}
+    sets = {d: brute.shingles(t) for d, t in out}
+    assert links and all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in links)
+
+
 def test_jaccard_when_cells_are_single_members(spark, rows, monkeypatch):
     """The way of sets with too few cells in use."""
     df = spark.createDataFrame(rows, "doc_id long, text string")
