@@ -43,6 +43,8 @@ from .words import LOWER, chunks, prefix_hash, slice_hash, words
 N, BAND, LITTLE = 5, 1.5, 40
 #: Cells of a bucket on average; cells gathered before blocks are sent on; members of a tile.
 BUCKET, FLUSH, TILE = 1 << 20, 1 << 20, 512
+#: One-bit cells per member at least.
+BITS = 4
 ONE = np.uint64(1)
 
 
@@ -94,9 +96,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndar
 
 
 def sketch(members: np.ndarray) -> bytes:
-    """One-bit cells, a power of two of them, at least twice the members: parities of how many members fall into each."""
+    """One-bit cells, a power of two of them, at least BITS times the members: parities of how many members fall into each."""
     bits = 64
-    while bits < 2 * len(members):
+    while bits < BITS * len(members):
         bits *= 2
     odd = np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
@@ -300,21 +302,48 @@ def _cross_sorted(frame: pd.DataFrame) -> pd.DataFrame:
     """Pairs within tiles of lists that are in different components, pruned by size and by Hamming distance.
 
     Rows of a tile stand together; a row meets the next, the next but one and so on of its tile, for all tiles at once.
+    A pair that several lists have comes from the first of them alone.
     """
-    group = np.cumsum(np.r_[True, (frame[["list", "t", "u"]].to_numpy()[1:] != frame[["list", "t", "u"]].to_numpy()[:-1]).any(1)])
+    lid, t, u = (frame[c].to_numpy() for c in ("lid", "t", "u"))
+    group = np.cumsum(np.r_[True, (lid[1:] != lid[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])])
     own, comp, doc, n, tile = (frame[c].to_numpy() for c in ("own", "comp", "doc", "n", "tile"))
-    same_tile = (frame["t"] == frame["u"]).to_numpy()
-    sketches = list(frame["sketch"])
     last = np.searchsorted(group, group, "right") - 1
-    out, left = [], np.arange(len(frame))
+    pairs, left = [], np.arange(len(frame))
     step = 1
     while len(left := left[left + step <= last[left]]):
         right = left + step
-        ok = (comp[left] != comp[right]) & (own[left] | own[right]) & (same_tile[left] | (tile[left] != tile[right])) & (doc[left] != doc[right])
+        ok = (comp[left] != comp[right]) & (own[left] | own[right]) & ((t == u)[left] | (tile[left] != tile[right])) & (doc[left] != doc[right])
         ok &= 5 * np.minimum(n[left], n[right]) >= 4 * np.maximum(n[left], n[right])
-        out += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for i, j in zip(left[ok], right[ok]) if _hamming_ok(sketches[i], sketches[j], n[i], n[j])]
+        pairs.append(np.column_stack([left[ok], right[ok]]))
         step += 1
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    _, first, same = np.unique(np.sort(doc[pairs], axis=1), axis=0, return_index=True, return_inverse=True)
+    near = _near(list(frame["sketch"]), n, pairs[first])
+    lids, own_lids, leads = frame["lids"].to_numpy(), frame["own_lids"].to_numpy(), np.zeros(len(first), np.int64)
+    for k in np.flatnonzero(near):  # the first list that has both, one of them at least in its own band
+        i, j = pairs[first[k]]
+        common = np.r_[np.intersect1d(own_lids[i], lids[j], assume_unique=True), np.intersect1d(lids[i], own_lids[j], assume_unique=True)]
+        leads[k] = common.min()
+    same = same.ravel()
+    mine = np.unique(same[near[same] & (lid[pairs[:, 0]] == leads[same])])
+    ids = np.sort(doc[pairs[first[mine]]], axis=1)
+    return pd.DataFrame({"a": ids[:, 0], "b": ids[:, 1]}, dtype="int64")
+
+
+def _near(sketches: list[bytes], n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Whether the Hamming distances of pairs of rows let them be linked; sketches are folded to the shorter one's size."""
+    size = np.array([len(s) for s in sketches])
+    out = np.zeros(len(pairs), bool)
+    need = np.minimum(size[pairs[:, 0]], size[pairs[:, 1]]) if len(pairs) else np.zeros(0, np.int64)
+    for width in np.unique(need):
+        which = np.flatnonzero(need == width)
+        used, at = np.unique(pairs[which], return_inverse=True)
+        folded, at = np.stack([fold(sketches[i], width) for i in used]), at.reshape(-1, 2)
+        for s in range(0, len(which), max(1, (8 << 20) // int(width))):
+            part = slice(s, s + max(1, (8 << 20) // int(width)))
+            differ = np.bitwise_count(folded[at[part, 0]] ^ folded[at[part, 1]]).sum(1, dtype=np.int64)
+            out[which[part]] = 9 * differ <= n[pairs[which[part]]].sum(1)
+    return out
 
 
 def _cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,7 +354,7 @@ def _cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         # the last tile may go on in the next batch
         end = frame.iloc[-1]
-        tail = (frame["list"] == end["list"]) & (frame["t"] == end["t"]) & (frame["u"] == end["u"])
+        tail = (frame["lid"] == end["lid"]) & (frame["t"] == end["t"]) & (frame["u"] == end["u"])
         held = frame[tail]
         if not tail.all():
             yield _cross_sorted(frame[~tail])
@@ -377,8 +406,8 @@ class Join:
         nearest = materialise(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
         links = self._verified(nearest)
         known = components(links)
-        left = self._different(star.join(nearest, ["a", "b"], "left_anti"), known)
-        again = materialise(left.union(self._cross_pairs(found, known)).distinct().join(nearest, ["a", "b"], "left_anti"), "cross")
+        # what is linked already is in one component and does not come again
+        again = materialise(self._different(star, known).union(self._cross_pairs(found, known)).distinct(), "cross")
         return links.union(self._verified(again))
 
     @staticmethod
@@ -389,16 +418,18 @@ class Join:
 
     def _cross_pairs(self, found: DataFrame, known: DataFrame) -> DataFrame:
         lists = found.where(F.col("own").isNotNull()).select("own", "others").distinct()
-        lists = lists.withColumn("list", F.sha2(F.concat(F.sha2("own", 256), F.sha2("others", 256)), 256))
-        opened = materialise(lists.mapInArrow(_open, "list string, doc long, own boolean, size int"), "opened")
+        lists = lists.withColumn("lid", F.xxhash64(F.sha2("own", 256), F.sha2("others", 256)))
+        opened = lists.mapInArrow(_open, "lid long, doc long, own boolean, size int")
         at = opened.join(known.select(F.col("v").alias("doc"), F.col("c").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         at = materialise(at, "placed")
-        split = at.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-        rest = at.join(split, "list", "left_semi").join(self.first.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc")
+        split = at.groupBy("lid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("lid")
+        inside = materialise(at.join(split, "lid", "left_semi"), "inside")
+        of_doc = inside.groupBy("doc").agg(F.collect_set("lid").alias("lids"), F.collect_set(F.when(F.col("own"), F.col("lid"))).alias("own_lids"))
+        of_doc = materialise(of_doc.join(self.first.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc"), "members")
         tiles = F.ceil(F.col("size") / TILE).cast("int")
-        rest = rest.withColumn("tile", F.pmod(F.xxhash64("doc"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        rest = inside.join(of_doc, "doc").withColumn("tile", F.pmod(F.xxhash64("doc"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
         rest = rest.withColumn("t", F.least("tile", "other")).withColumn("u", F.greatest("tile", "other"))
-        dealt = rest.select("list", "t", "u", "tile", "own", "comp", "doc", "n", "sketch").repartition("list", "t", "u").sortWithinPartitions("list", "t", "u")
+        dealt = rest.select("lid", "t", "u", "tile", "own", "comp", "doc", "n", "sketch", "lids", "own_lids").repartition("lid", "t", "u").sortWithinPartitions("lid", "t", "u")
         return dealt.mapInPandas(_cross, "a long, b long")
 
     def classes(self) -> DataFrame:
@@ -414,10 +445,10 @@ class Join:
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("list", pa.string()), ("doc", pa.int64()), ("own", pa.bool_()), ("size", pa.int32())])
+    schema = pa.schema([("lid", pa.int64()), ("doc", pa.int64()), ("own", pa.bool_()), ("size", pa.int32())])
     for batch in batches:
         names, docs, own, sizes = [], [], [], []
-        for x, y, name in zip(batch.column("own").to_pylist(), batch.column("others").to_pylist(), batch.column("list").to_pylist()):
+        for x, y, name in zip(batch.column("own").to_pylist(), batch.column("others").to_pylist(), batch.column("lid").to_pylist()):
             p, q = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
             n = len(p) + len(q)
             names += [name] * n
@@ -425,7 +456,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own.append(np.r_[np.ones(len(p), bool), np.zeros(len(q), bool)])
             sizes.append(np.full(n, n, np.int32))
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(join(docs, np.int64)), pa.array(join(own, bool)), pa.array(join(sizes, np.int32))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(join(docs, np.int64)), pa.array(join(own, bool)), pa.array(join(sizes, np.int32))], schema=schema)
 
 
 def jaccard_classes(docs: DataFrame, n: int = N) -> DataFrame:
