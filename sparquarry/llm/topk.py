@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_partitions
@@ -102,8 +102,8 @@ class Index:
 def build_index(vectors: DataFrame, scale: float = 256, pivots: int = PIVOTS, annulus: int = ANNULUS) -> Index:
     ints = materialise(integers(vectors, scale), "ints")
     parts = shuffle_partitions(vectors.sparkSession)
-    # pivots: a bounded number of vectors of each length, by hash
-    dims = [r[0] for r in ints.select(F.size("v")).distinct().limit(1000).collect()]
+    # pivots: a bounded number of vectors of each length (tables have one or a few lengths), by hash
+    dims = [r[0] for r in ints.select(F.size("v")).distinct().collect()]
     chosen = {}
     for dim in dims:
         rows = ints.where(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
@@ -206,7 +206,5 @@ def search(index: Index, every: int, k: int) -> DataFrame:
     left = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = blocks.withColumn("shard", F.pmod(F.xxhash64("cell", "near", "far", "ids"), F.lit(shards)).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
     found = left.groupBy("qblock", "shard").cogroup(right.groupBy("qblock", "shard")).applyInPandas(_search(index.pivots, k), "query_id long, vec_id long, score long")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
