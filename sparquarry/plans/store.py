@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import UnsupportedError
+from ..functions.vectors import usable
 from ..operators import codecs, fusion, scorers, vector_search
 from ..operators.index import TextIndex
 from ..operators.partitions import CUSTOM, Partitioning, TimeWindow, forgotten, members
@@ -357,6 +358,58 @@ class Store:
         self.manifest, self.declared = json.loads(dumps(manifest)), {}
         return manifest["generation"]
 
+    def load(self, collection: str, rows: DataFrame) -> dict:
+        """One commit of a whole table: key (string), created_at, and columns named as the fields.  Nothing is collected.
+
+        Of rows with one key the newest counts.  Frame ids follow created_at, then key: rows
+        are range-partitioned and numbered within their task, and one count per task gives each
+        task's first number.
+        """
+        with self.writer() as writer:
+            schema, manifest = writer._schema(collection), json.loads(json.dumps(self.manifest))
+            manifest["collections"] |= self.declared.get("collections", {})
+            snap, spark = Snapshot(self.spark, self.root, manifest), self.spark
+            tag = f"gen-{manifest['generation'] + 1:012d}-{uuid.uuid4().hex[:8]}"
+            fields = [f.name for f in schema.fields if f.name in rows.columns]
+            for f in schema.vector_fields:
+                if f.name in fields and not rows.where(F.col(f.name).isNotNull() & ~usable(F.col(f.name), f.dim)).isEmpty():
+                    raise StoreError(f"field {f.name!r} holds vectors of another size or with components that are not finite")
+            newest = rows.groupBy("key").agg(F.max_by(F.struct(*fields), "created_at").alias("f"), F.max("created_at").cast("long").alias("created_at"))
+            ordered = newest.repartitionByRange("created_at", "key").sortWithinPartitions("created_at", "key").withColumn("at", F.monotonically_increasing_id())
+            staged_path = f"{self.root}/_staging/{tag}"
+            try:
+                ordered.write.parquet(staged_path)
+                staged = spark.read.schema(ordered.schema).parquet(staged_path).withColumn("task", F.shiftright("at", 33))
+                counts = {r["task"]: r["n"] for r in staged.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()}
+                first, total = {}, 0
+                for task in sorted(counts):
+                    first[task], total = total, total + counts[task]
+                starts = spark.createDataFrame([(t, n + manifest["next_frame"]) for t, n in first.items()], "task long, start long")
+                numbered = staged.join(F.broadcast(starts), "task").withColumn("frame_id", F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1))
+                numbered = numbered.select("frame_id", F.concat(F.lit(bytearray(b"\x01")), F.encode("key", "UTF-8")).alias("raw"), "created_at", "f.*")
+                old = snap.active_frames().where(F.col("collection") == collection).join(numbered.select(F.col("raw").alias("key")), "key", "left_semi").select("frame_id")
+                last = snap.active_frames().join(old, "frame_id", "left_anti").agg(F.max("created_at")).first()[0]
+                if last is not None and total and numbered.agg(F.min("created_at")).first()[0] < last:
+                    raise StoreError("created_at must not fall from one frame to the next")
+                text = F.col(schema.text_field.name) if schema.text_field and schema.text_field.name in fields else F.lit(None).cast("string")
+                out = {"tombstones": old, "frames": numbered.select("frame_id", F.lit(collection).alias("collection"), F.col("raw").alias("key"), F.lit("document").alias("role"), "created_at", F.col("created_at").alias("updated_at"), F.lit(None).cast("long").alias("parent_frame_id"), text.alias("text"))}
+                if schema.text_field and schema.text_field.name in fields:
+                    index = TextIndex.build(numbered.where(text.isNotNull() & (text != "")).select("frame_id", text.alias("text")), schema.text_field.analyzer)
+                    for name, df in (("postings", index.postings), ("doc_stats", index.doc_stats)):
+                        out[name] = df.withColumn("text_space", F.lit(snap.base_of(collection))).select(*[x.split()[0] for x in TABLES[name].split(", ")])
+                for i, f in enumerate(f for f in schema.vector_fields if f.name in fields):
+                    some = numbered.where(F.col(f.name).isNotNull()).select((F.col("frame_id") - manifest["next_frame"] + manifest["next_vector"] + i * total).alias("vector_id"), "frame_id", F.lit(collection).alias("collection"), F.col(f.name).cast("array<float>").alias("embedding"))
+                    part = writer.coded(manifest, snap.space_of(collection, f), f, some)
+                    out["vectors"] = out["vectors"].union(part) if "vectors" in out else part
+                manifest["next_vector"] += total * len(schema.vector_fields)
+                manifest["next_frame"] += total
+                for name, df in out.items():
+                    df.write.parquet(f"{self.root}/{name}/{tag}")
+                    manifest["tables"][name].append(f"{name}/{tag}")
+                return {"changed": True, "generation": self.publish(manifest), "rows": total}
+            finally:
+                self.files.delete(staged_path)
+
     def compact(self, recalibrate: bool = False) -> dict:
         """Rewrites the active rows as a new generation; children of tombstoned parents become roots."""
         before = self.reader()
@@ -575,22 +628,27 @@ class Writer:
             manifest["next_vector"] += 1
         for space, (f, rows) in by_space.items():
             df = spark.createDataFrame(rows, "vector_id long, frame_id long, collection string, embedding array<float>")
-            if f.codec is None:
-                manifest["spaces"].setdefault(space, "")
-                parts.append(df.select(F.lit(space).alias("space"), "vector_id", "frame_id", "collection", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("array<long>").alias("sketch"), "embedding"))
-                continue
-            if not manifest["spaces"].get(space):
-                sample = df.orderBy("vector_id").limit(f.sample_target)
-                codec = codecs.calibrate_qam(sample, f.dim, f.amp_bits, f.phase_bits) if f.codec == "qam" else codecs.calibrate_upq(sample, f.dim)
-                manifest["spaces"][space] = codec.to_json()
-            coded = codecs.encode_table(df, codecs.from_json(manifest["spaces"][space]))
-            parts.append(coded.select(F.lit(space).alias("space"), "vector_id", "frame_id", "collection", "code", "sketch", F.lit(None).cast("array<float>").alias("embedding")))
+            parts.append(self.coded(manifest, space, f, df))
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)
         return out
 
 
+    @staticmethod
+    def coded(manifest: dict, space: str, f: VectorField, rows: DataFrame) -> DataFrame:
+        """Rows of vectors (vector_id, frame_id, collection, embedding) as the space keeps them; calibrates a new space."""
+        if f.codec is None:
+            manifest["spaces"].setdefault(space, "")
+            return rows.select(F.lit(space).alias("space"), "vector_id", "frame_id", "collection", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("array<long>").alias("sketch"), "embedding")
+        if not manifest["spaces"].get(space):
+            sample = rows.orderBy("vector_id").limit(f.sample_target)
+            codec = codecs.calibrate_qam(sample, f.dim, f.amp_bits, f.phase_bits) if f.codec == "qam" else codecs.calibrate_upq(sample, f.dim)
+            manifest["spaces"][space] = codec.to_json()
+        table = codecs.encode_table(rows, codecs.from_json(manifest["spaces"][space]))
+        return table.select(F.lit(space).alias("space"), "vector_id", "frame_id", "collection", "code", "sketch", F.lit(None).cast("array<float>").alias("embedding"))
+
+
 class Loader:
     """Bulk puts with a commit after each batch, and before a key repeats within one."""
 

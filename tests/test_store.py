@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparquarry.cli import main
 from sparquarry.functions.text import Analyzer, UnsupportedError
@@ -253,6 +254,24 @@ def test_loader_export_and_command_line(store, spark, capsys):
     assert "text 0" in capsys.readouterr().out
 
 
+def test_whole_tables_in_one_commit(store, spark):
+    store.collection("c", BOTH)
+    rows = [(f"k{i % 25}", i, f"alpha {'beta ' * (i % 5)}", unit(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, created_at long, body string, dense array<float>").repartition(5)
+    assert store.load("c", df)["rows"] == 25
+    snap = store.reader()
+    assert snap.get("c", "k3")["created_at"] == 28 and snap.get("c", "k20")["created_at"] == 20
+    frames = snap.frames("c").orderBy("frame_id").collect()
+    assert [r["frame_id"] for r in frames] == list(range(1, 26)) and [r["created_at"] for r in frames] == sorted(r["created_at"] for r in frames)
+    assert keys(snap.search("c", Search().vector("dense", unit(30))))[0] == "k5" and len(keys(snap.search("c", Search().text("body", "beta")))) == 10
+    with pytest.raises(StoreError, match="created_at"):
+        store.load("c", df.where("created_at < 3").withColumn("key", F.concat("key", F.lit("x"))))
+    with pytest.raises(StoreError, match="dense"):
+        store.load("c", df.withColumn("dense", F.slice("dense", 1, 3)))
+    more = df.where("created_at = 39").withColumn("created_at", F.lit(50).cast("long"))
+    assert store.load("c", more)["rows"] == 1 and store.reader().get("c", "k14")["created_at"] == 50 and store.reader().stats()["active_frames"] == 25
+
+
 def test_stream_into_partitions(store, spark, tmp_path):
     from sparquarry.streaming.ingest import ingest
 
