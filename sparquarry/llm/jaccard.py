@@ -44,7 +44,7 @@ N, BAND, LITTLE = 5, 1.5, 40
 #: Cells of a bucket on average; cells gathered before blocks are sent on; members of a tile.
 BUCKET, FLUSH, TILE = 1 << 20, 1 << 20, 512
 #: One-bit cells per member at least.
-BITS = 4
+BITS = 2
 ONE = np.uint64(1)
 
 
@@ -298,11 +298,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _cross_sorted(frame: pd.DataFrame) -> pd.DataFrame:
+def _cross_sorted(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Pairs within tiles of lists that are in different components, pruned by size and by Hamming distance.
 
     Rows of a tile stand together; a row meets the next, the next but one and so on of its tile, for all tiles at once.
-    A pair that several lists have comes from the first of them alone.
+    Pairs leave as packed blocks, so that those of overlapping lists can be made one.
     """
     lid, t, u = (frame[c].to_numpy() for c in ("lid", "t", "u"))
     group = np.cumsum(np.r_[True, (lid[1:] != lid[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])])
@@ -317,17 +317,26 @@ def _cross_sorted(frame: pd.DataFrame) -> pd.DataFrame:
         pairs.append(np.column_stack([left[ok], right[ok]]))
         step += 1
     pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-    _, first, same = np.unique(np.sort(doc[pairs], axis=1), axis=0, return_index=True, return_inverse=True)
-    near = _near(list(frame["sketch"]), n, pairs[first])
-    lids, own_lids, leads = frame["lids"].to_numpy(), frame["own_lids"].to_numpy(), np.zeros(len(first), np.int64)
-    for k in np.flatnonzero(near):  # the first list that has both, one of them at least in its own band
-        i, j = pairs[first[k]]
-        common = np.r_[np.intersect1d(own_lids[i], lids[j], assume_unique=True), np.intersect1d(lids[i], own_lids[j], assume_unique=True)]
-        leads[k] = common.min()
-    same = same.ravel()
-    mine = np.unique(same[near[same] & (lid[pairs[:, 0]] == leads[same])])
-    ids = np.sort(doc[pairs[first[mine]]], axis=1)
-    return pd.DataFrame({"a": ids[:, 0], "b": ids[:, 1]}, dtype="int64")
+    ids = np.sort(doc[pairs], axis=1)
+    _, first = np.unique(ids, axis=0, return_index=True)
+    near = first[_near(list(frame["sketch"]), n, pairs[first])]
+    return _packed(ids[near], buckets)
+
+
+def _packed(pairs: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Pairs by hash in packed blocks."""
+    bucket = (mix64(pairs[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pairs[:, 1].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, pairs = bucket[order], pairs[order]
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    rows = [(int(bucket[s]), pairs[s:e].astype(np.int64).tobytes()) for s, e in zip(start, [*start[1:], len(bucket)])]
+    return pd.DataFrame(rows, columns=["bucket", "pairs"])
+
+
+def _unpacked(frame: pd.DataFrame) -> pd.DataFrame:
+    """The different pairs of a bucket; lists that overlap have sent some of them several times."""
+    pairs = np.unique(np.frombuffer(b"".join(frame["pairs"]), np.int64).reshape(-1, 2), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _near(sketches: list[bytes], n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -346,20 +355,23 @@ def _near(sketches: list[bytes], n: np.ndarray, pairs: np.ndarray) -> np.ndarray
     return out
 
 
-def _cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = None
-    for frame in frames:
-        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        if not len(frame):
-            continue
-        # the last tile may go on in the next batch
-        end = frame.iloc[-1]
-        tail = (frame["lid"] == end["lid"]) & (frame["t"] == end["t"]) & (frame["u"] == end["u"])
-        held = frame[tail]
-        if not tail.all():
-            yield _cross_sorted(frame[~tail])
-    if held is not None and len(held):
-        yield _cross_sorted(held)
+def _cross(buckets: int):
+    def cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            # the last tile may go on in the next batch
+            end = frame.iloc[-1]
+            tail = (frame["lid"] == end["lid"]) & (frame["t"] == end["t"]) & (frame["u"] == end["u"])
+            held = frame[tail]
+            if not tail.all():
+                yield _cross_sorted(frame[~tail], buckets)
+        if held is not None and len(held):
+            yield _cross_sorted(held, buckets)
+
+    return cross
 
 
 class Join:
@@ -423,14 +435,13 @@ class Join:
         at = opened.join(known.select(F.col("v").alias("doc"), F.col("c").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         at = materialise(at, "placed")
         split = at.groupBy("lid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("lid")
-        inside = materialise(at.join(split, "lid", "left_semi"), "inside")
-        of_doc = inside.groupBy("doc").agg(F.collect_set("lid").alias("lids"), F.collect_set(F.when(F.col("own"), F.col("lid"))).alias("own_lids"))
-        of_doc = materialise(of_doc.join(self.first.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc"), "members")
+        inside = at.join(split, "lid", "left_semi").join(self.first.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc")
         tiles = F.ceil(F.col("size") / TILE).cast("int")
-        rest = inside.join(of_doc, "doc").withColumn("tile", F.pmod(F.xxhash64("doc"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        rest = inside.withColumn("tile", F.pmod(F.xxhash64("doc"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
         rest = rest.withColumn("t", F.least("tile", "other")).withColumn("u", F.greatest("tile", "other"))
-        dealt = rest.select("lid", "t", "u", "tile", "own", "comp", "doc", "n", "sketch", "lids", "own_lids").repartition("lid", "t", "u").sortWithinPartitions("lid", "t", "u")
-        return dealt.mapInPandas(_cross, "a long, b long")
+        dealt = rest.select("lid", "t", "u", "tile", "own", "comp", "doc", "n", "sketch").repartition("lid", "t", "u").sortWithinPartitions("lid", "t", "u")
+        packed = dealt.mapInPandas(_cross(2 * shuffle_partitions(self.spark)), "bucket int, pairs binary")
+        return packed.groupBy("bucket").applyInPandas(_unpacked, "a long, b long")
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row."""
