@@ -91,7 +91,7 @@ class Analyzer:
         out = []
         for t in found:
             if self.fold_case:
-                t = "".join(c.lower() for c in t)
+                t = t.lower() if "Σ" not in t else "".join(c.lower() for c in t)  # letter by letter: no final sigma
             if self.fold_accents:
                 t = fold_accents(t)
             if self.possessive:
@@ -110,7 +110,12 @@ class Analyzer:
         return frozenset(self.stopwords)
 
 
+PLAIN_RUNS = re.compile(r"[^\W_]+")
+
+
 def _word_runs(text: str) -> list[str]:
+    if text.isascii() or (text and max(text) < "\u0300"):  # no combining marks there
+        return PLAIN_RUNS.findall(text)
     out, run = [], []
     for c in text:
         if c.isalnum() or unicodedata.category(c) in ("Mn", "Mc") and _alphabetic_mark(c):
