@@ -113,6 +113,8 @@ def line_dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     parts = dealt.select("h1", "h2", "doc").mapInArrow(_summaries(last), "h1 long, h2 long, docs long, keeper long")
     pick = F.max if last else F.min
     common = parts.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), pick("keeper").alias("keeper")).where(F.col("docs") >= least_docs).drop("docs")
+    # a table of its own, so that both sides of the join are shuffled for it and a hot line's rows can be split
+    common = materialise(common, "common")
     lost = lines.join(common, ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
     gathered = lost.groupBy("doc", "rkey").agg(F.collect_set("pos").alias("places"))
     return gathered.mapInArrow(_bitmap, "doc long, rkey long, dropped binary")
