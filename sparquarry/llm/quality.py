@@ -140,6 +140,9 @@ def train(table: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BradleyT
     """table: feature_table(); labels: doc_id and quality.  Rows with held_out() are never seen."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     rows = table.where(~held_out()).join(known, "doc_id").select("y", "x", "doc_id")
+    share = 1.2 * sample / max(1, known.count())
+    if share < 1:  # a share of all hashes first, so that tasks together send about a sample to the driver
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample).collect()
     x = np.array([r.x for r in rows], np.float64).reshape(-1, N_FEATURES)
     return BradleyTerry.fit(x, np.array([r.y for r in rows], np.int64))
