@@ -29,9 +29,9 @@ from .html_blocks import Block, blocks
 from .words import LOWER, prefix_hash, slice_hash, words
 
 LABELS = ("article", "menu", "header", "footer", "sidebar", "notice", "advert", "form", "comment", "title")
-PATH, WORDS, MEASURES = 96, 48, 8
+PATH, WORDS, MEASURES = 128, 48, 8
 WIDTH = PATH + WORDS + MEASURES
-HIDDEN, TRAIN_PAGES, EPOCHS, SEED = 20, 700, 14, 7
+HIDDEN, TRAIN_PAGES, EPOCHS, SEED = 20, 900, 14, 7
 #: Pages labelled side by side; steps times pages at most at once.
 SIDE, STEPS = 128, 1 << 15
 
@@ -71,7 +71,7 @@ def vectors(found: list[Block]) -> np.ndarray:
     sign = np.where(h >> np.uint64(63), 1.0, -1.0)
     bag = np.bincount(of * WORDS + (h % np.uint64(WORDS)).astype(np.int64), sign, len(found) * WORDS).reshape(-1, WORDS)
     per = np.bincount(of, minlength=len(found))
-    out[:, PATH : PATH + WORDS] = bag / np.sqrt(np.maximum(per, 1))[:, None]
+    out[:, PATH : PATH + WORDS] = bag / np.maximum(np.sqrt((bag**2).sum(1, keepdims=True)), 1)
     stops = np.bincount(of, np.isin(data[ends - 1], list(b".!?")), len(found))
     commas = np.bincount(of, np.isin(data[ends - 1], list(b",;:")), len(found))
     linked = np.array([b.linked for b in found])

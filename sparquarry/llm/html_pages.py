@@ -60,6 +60,8 @@ class Maker:
             ws = [w.upper() + "!!" for w in ws]
         elif style < 0.16:
             ws = [x for w in ws for x in (w, "|")]
+        elif style < 0.2:
+            ws = [w for w in ws[:6] for _ in range(int(self.rng.integers(3, 20)))]
         return " ".join(ws).capitalize() + "."
 
     def prose(self, sentences: int) -> str:
