@@ -19,7 +19,14 @@ that share a cell form a list; its pairs are not emitted.  A star from the list'
 first member comes first, pruned by the Hamming distance of the one-bit sketches
 and verified on the full sets; then only pairs of a list that are still in
 different components are looked at, in tiles, pruned and verified.  Then any two
-linked documents are in one component, and no link between components is missed.
+linked documents are in one component, and no link between components is missed;
+where only classes are asked for (components_only()) the work ends here.
+
+Links are whole: as linked sets are in one component, every pair of different sets
+of a component is compared, each pair in one tile, by products of 0/1 matrices of
+the sets' members.  A document's n_links is the number of other documents whose sets
+are linked or equal to its own; only these sums leave the tiles.  An id with several
+texts counts once for each of their sets.
 
 Defined results: null, empty and blank texts have empty sets and no links; null
 ids take no part in links; rows that share an id are one document; rows that
@@ -43,6 +50,8 @@ from .words import LOWER, chunks, prefix_hash, slice_hash, words
 N, BAND, LITTLE = 5, 1.5, 40
 #: Cells of a bucket on average; cells gathered before blocks are sent on; members of a tile.
 BUCKET, FLUSH, TILE = 1 << 20, 1 << 20, 512
+#: Sets and members of a tile of a component at most; columns of a matrix of members.
+SIDE, HELD, COLUMNS = 1024, 1 << 20, 4096
 #: One-bit cells per member at least.
 BITS = 2
 ONE = np.uint64(1)
@@ -276,7 +285,7 @@ def _sets(n: int):
                 ends = np.cumsum(np.bincount(of, minlength=b - a))
                 raw = np.ascontiguousarray(members.view(np.uint8).reshape(-1, 8)[:, :6])
                 out += [raw[s:e].tobytes() for s, e in zip(np.r_[0, ends[:-1]], ends)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rkey"), pa.array(out, pa.binary())], names=["doc_id", "rkey", "members"])
 
     return sets
 
@@ -374,8 +383,80 @@ def _cross(buckets: int):
     return cross
 
 
+def _common(members: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many members each of the left sets has in common with each of the right ones."""
+    every = _members(b"".join(members))
+    of = np.repeat(np.arange(len(members)), [len(m) // 6 for m in members])
+    _, at, times = np.unique(every, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    some = np.flatnonzero(times[at] > 1)
+    some = some[np.argsort(at[some], kind="stable")]
+    of, at = of[some], column[at[some]]
+    kind = np.float32 if len(every) < 1 << 24 else np.float64
+    out = np.zeros((len(left), len(right)), kind)
+    for s in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        a, b = np.searchsorted(at, [s, s + COLUMNS])
+        has = np.zeros((len(members), int(at[b - 1]) + 1 - s), kind)
+        has[of[a:b], at[a:b] - s] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def _linked(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, linked) of one tile, rows and a matrix; within one part of a component every pair comes both ways."""
+    tile, doc = frame["tile"].to_numpy(), frame["doc_id"].to_numpy()
+    inner = frame["t"].iloc[0] == frame["u"].iloc[0]
+    left = np.flatnonzero(tile == frame["t"].iloc[0])
+    right = left if inner else np.flatnonzero(tile == frame["u"].iloc[0])
+    members = list(frame["members"])
+    n = np.array([len(m) // 6 for m in members])
+    common = _common(members, left, right)
+    return left, right, (100 * common >= 80 * (n[left][:, None] + n[right] - common)) & (doc[left][:, None] != doc[right])
+
+
+def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
+    left, right, linked = _linked(frame)
+    doc = frame["doc_id"].to_numpy()
+    x, y = np.nonzero(linked)
+    pairs = np.unique(np.sort(np.column_stack([doc[left[x]], doc[right[y]]]), axis=1), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _tile_sums(frame: pd.DataFrame) -> pd.DataFrame:
+    left, right, linked = _linked(frame)
+    doc, rkey, copies = (frame[c].to_numpy() for c in ("doc_id", "rkey", "copies"))
+    linked = linked.astype(np.float64)
+    at, sums = left, linked @ copies[right]
+    if left is not right:
+        at, sums = np.r_[left, right], np.r_[sums, copies[left] @ linked]
+    return pd.DataFrame({"doc_id": doc[at], "rkey": rkey[at], "links": sums.astype(np.int64)})
+
+
+def _each_tile(work):
+    def tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            # a text that comes in several rows of its id has equal rows here, one after another
+            named = frame[["comp", "t", "u", "doc_id", "rkey"]].to_numpy()
+            frame = frame[np.r_[True, (named[1:] != named[:-1]).any(1)]]
+            comp, t, u = (frame[c].to_numpy() for c in ("comp", "t", "u"))
+            start = np.flatnonzero(np.r_[True, (comp[1:] != comp[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])])
+            done = [work(frame.iloc[s:e]) for s, e in zip(start, start[1:])]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+            # the last tile may go on in the next batch
+            held = frame.iloc[start[-1] :]
+        if held is not None and len(held):
+            yield work(held)
+
+    return tiles
+
+
 class Join:
-    """The similarity join of a table; links() and classes() give its results."""
+    """The similarity join of a table; links() and classes() give its results, components_only() only the components."""
 
     def __init__(self, docs: DataFrame, n: int = N):
         self.n, self.spark = n, docs.sparkSession
@@ -386,10 +467,12 @@ class Join:
         # one row of each set of equal sets; all rows of its id stand for it
         first = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "rkey", "n", "sketch")).alias("f"))
         self.first = materialise(first.select("set_key", "f.*"), "sets")
+        #: Tables of the members of sets, as they are needed; the sets of all components are among them in the end.
+        self.members: list[DataFrame] = []
 
     def _texts(self, chosen: DataFrame) -> DataFrame:
         """The texts of chosen (doc_id, rkey)."""
-        return self.docs.join(chosen, ["doc_id", "rkey"], "left_semi").select("doc_id", "text")
+        return self.docs.join(chosen, ["doc_id", "rkey"], "left_semi").select("doc_id", "rkey", "text")
 
     def _sketch_pairs(self, pairs: DataFrame) -> DataFrame:
         p = self.first.select("doc_id", "n", "sketch")
@@ -400,13 +483,14 @@ class Join:
     def _verified(self, pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
         chosen = self.first.join(ids, "doc_id", "left_semi").select("doc_id", "rkey")
-        sets = materialise(self._texts(chosen).mapInArrow(_sets(self.n), "doc_id long, members binary"), "members")
+        sets = materialise(self._texts(chosen).mapInArrow(_sets(self.n), "doc_id long, rkey long, members binary"), "members")
+        self.members.append(sets)
         one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a")
         two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
         return materialise(two.select("a", "b", "ma", "mb").mapInArrow(_verify, "a long, b long").distinct(), "links")
 
-    def links(self) -> DataFrame:
-        """a, b: verified links between representatives that connect every component."""
+    def spanning_links(self) -> DataFrame:
+        """a, b: verified links between representatives that connect every component; not all links."""
         parts = shuffle_partitions(self.spark)
         total = self.first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         buckets = max(2 * parts, -(-total // (2 * BUCKET)))
@@ -443,16 +527,52 @@ class Join:
         packed = dealt.mapInPandas(_cross(2 * shuffle_partitions(self.spark)), "bucket int, pairs binary")
         return packed.groupBy("bucket").applyInPandas(_unpacked, "a long, b long")
 
+    def _tiles(self, known: DataFrame) -> DataFrame:
+        """The sets of components in tiles, so that any two of a component meet in one."""
+        some = self.rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+        self.copies = materialise(some.select("set_key", "doc_id").distinct().groupBy("set_key").agg(F.count("*").alias("copies")), "copies")
+        inside = self.first.select("set_key", "doc_id", "rkey", "n").join(known.select(F.col("v").alias("doc_id"), F.col("c").alias("comp")), "doc_id").join(self.copies, "set_key")
+        inside = materialise(inside.select("doc_id", "rkey", "n", "comp", "copies"), "inside")
+        sizes = inside.groupBy("comp").agg(F.count("*").alias("size"), F.max("n").alias("most"))
+        side = F.greatest(F.least(F.lit(SIDE), F.floor(F.lit(HELD) / F.col("most"))), F.lit(1))
+        sizes = sizes.select("comp", F.ceil(F.col("size") / side).cast("int").alias("tiles"))
+        members = self.members[0]
+        for more in self.members[1:]:
+            members = members.union(more.join(members.select("doc_id", "rkey"), ["doc_id", "rkey"], "left_anti").select("doc_id", "rkey", "members"))
+        rows = inside.join(sizes, "comp").withColumn("tile", F.pmod(F.xxhash64("doc_id", "rkey"), F.col("tiles")).cast("int"))
+        rows = rows.join(members, ["doc_id", "rkey"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows = rows.select("comp", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "doc_id", "rkey", "copies", "members")
+        return rows.repartition("comp", "t", "u").sortWithinPartitions("comp", "t", "u", "doc_id", "rkey")
+
+    def links(self) -> DataFrame:
+        """a, b: all links between representatives of different sets, a < b."""
+        known = components(self.spanning_links())
+        return self._tiles(known).mapInPandas(_each_tile(_tile_pairs), "a long, b long").distinct()
+
     def classes(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row."""
-        known = components(self.links())
+        """doc_id, n_shingles, component_id, n_links for every row."""
+        known = components(self.spanning_links())
+        sums = self._tiles(known).mapInPandas(_each_tile(_tile_sums), "doc_id long, rkey long, links long")
+        sums = materialise(sums.groupBy("doc_id", "rkey").agg(F.sum("links").alias("links")), "sums")
+        counts = self.first.select("set_key", "doc_id", "rkey").join(sums, ["doc_id", "rkey"], "left").join(self.copies, "set_key")
+        return self._named(known, counts.select("set_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+
+    def components_only(self) -> DataFrame:
+        """doc_id, n_shingles, component_id for every row: classes without their numbers of links, which needs fewer pairs."""
+        return self._named(components(self.spanning_links()))
+
+    def _named(self, known: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         # rows that share an id are one document: their sets' representatives belong together
         named = self.first.select("set_key", F.col("doc_id").alias("rep")).join(known.select(F.col("v").alias("rep"), F.col("c").alias("comp")), "rep", "left")
-        named = materialise(named.select("set_key", F.coalesce("comp", "rep").alias("comp")), "named")
+        named = named.select("set_key", F.coalesce("comp", "rep").alias("comp"))
+        more = [] if counts is None else ["n_links"]
+        named = materialise(named if counts is None else named.join(counts, "set_key"), "named")
         rows = self.rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key"))
         some = rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).join(named, "set_key")
         none = rows.where(F.col("set_key").isNull() | F.col("doc_id").isNull()).withColumn("comp", F.col("doc_id"))
-        return some.select("doc_id", "n", "comp").union(none.select("doc_id", "n", "comp")).select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+        none = none.withColumn("n_links", F.lit(0).cast("long"))
+        every = some.select("doc_id", "n", "comp", *more).union(none.select("doc_id", "n", "comp", *more))
+        return every.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), *more)
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +599,7 @@ def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
 
     Documents without words are not near-duplicates of anything and stay.
     """
-    classes = jaccard_classes(docs, n)
+    classes = Join(docs, n).components_only()
     keep = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     none = docs.where(F.col("doc_id").isNull()).select(*columns)

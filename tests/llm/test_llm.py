@@ -145,6 +145,33 @@ def test_jaccard_of_one_large_family_over_band_edges(spark):
     assert links and all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in links)
 
 
+def all_links(rows):
+    sets = {d: brute.shingles(t) for d, t in rows}
+    ids = sorted(d for d, s in sets.items() if s)
+    return sets, {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("side", (7, 1024))
+def test_jaccard_gives_every_link(spark, docs, rows, side, monkeypatch):
+    """A family of different near-copies has links between all of them, not only those that join it."""
+    monkeypatch.setattr(jaccard, "SIDE", side)
+    monkeypatch.setattr(jaccard, "COLUMNS", 8 * side)
+    base = prose(77, 300, 5000)
+    family = [(200 + i, edited(base, 13 * i)) for i in range(20)] + [(300, edited(base, 0)), (301, edited(base, 0).upper())]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(family, "doc_id long, text string"))
+    sets, links = all_links(rows + family)
+    expected = {d: (sum(d in p for p in links),) for d in sets}
+    assert expected[200] == (21,) and expected[5] == (0,)
+    assert by_id(jaccard.jaccard_classes(df), "n_links") == {d: v for d, v in expected.items()}
+    of = {}
+    for d in sorted(sets):
+        of.setdefault(frozenset(sets[d]), d)
+    reps = set(of.values())
+    assert {(r["a"], r["b"]) for r in jaccard.Join(df).links().collect()} == {p for p in links if p[0] in reps and p[1] in reps}
+    twice = jaccard.jaccard_classes(df.union(df))
+    assert {(r["doc_id"], r["n_links"]) for r in twice.collect()} == {(d, v[0]) for d, v in expected.items()}
+
+
 def test_jaccard_when_cells_are_single_members(spark, rows, monkeypatch):
     """The way of sets with too few cells in use."""
     df = spark.createDataFrame(rows, "doc_id long, text string")
