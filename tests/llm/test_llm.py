@@ -233,6 +233,20 @@ def test_lm_scores(spark, docs, rows, none):
     assert again.count() == 2 * len(rows)
 
 
+@pytest.mark.parametrize("frequent", (16, 7, 0))
+def test_lm_scores_of_real_words(spark, docs, rows, frequent, monkeypatch):
+    """Words and histories are counted each for itself, broadcast or not."""
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    more = [(500 + i, " ".join(f"r{(i * 3000 + j) % 70_000}" for j in range(3500))) for i in range(24)]
+    some = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    chosen = {0, 3, 8, 20, 24, 63, 501, 511}
+    expected = brute.losses(rows + more, chosen, lambda w: w, len({w for _, t in rows + more for w in brute.words(t)}), lm_scoring.MASS)
+    got = by_id(lm_scoring.lm_scores(some, spark.createDataFrame([(i,) for i in chosen], "doc_id long")), "n_tokens", "target_loss", "background_loss", "score")
+    assert got.keys() == expected.keys()
+    for d, (n, t, b) in expected.items():
+        assert got[d][0] == n and got[d][1:] == (pytest.approx((t, b, t - b), abs=1e-4) if n else (None, None, None))
+
+
 def test_quality(spark, sf_dir, docs, none):
     labels = read(spark, sf_dir, "labels")
     rows = quality.quality(read(spark, sf_dir, "documents"), labels).collect()
