@@ -9,9 +9,12 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas".split())
+RAW = frozenset("script style template textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas and drawings and what they hold; they stand within a line of text.
+FOREIGN = frozenset("math semantics annotation mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd svg g defs symbol use text tspan textpath path circle ellipse line polygon polyline rect desc".split())
+INLINE |= FOREIGN
 #: An element that opens closes these if they are open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = frozenset("html body div section article main nav aside header footer ul ol dl table form blockquote td th figure details fieldset".split())
@@ -92,7 +95,8 @@ def blocks(page: str) -> list[Block]:
                 if inline and tags[i] not in INLINE:
                     break
             continue
-        if tag in RAW:
+        # within formulas and drawings an element can end with its own tag
+        if tag in RAW and not (m[3].rstrip().endswith("/") and ("svg" in tags or "math" in tags)):
             end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue

@@ -309,6 +309,16 @@ def test_html_odd_pages(spark):
     assert [b.text for b in blocks("<p>a<p>b<div>c<span> d</span></div>e<ul><li>f<li>g</ul>")] == ["a", "b", "c d", "e", "f", "g"]
 
 
+def test_html_keeps_formulas_and_fallbacks():
+    of = lambda page: [b.text for b in blocks(page)]
+    assert of("<p>a <svg class='x'/> b</p><p>c <math /> d</p><p>e</p>") == ["a b", "c d", "e"]
+    assert of("<p>if <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> then</p><p>f</p>") == ["if x=2 then", "f"]
+    assert of("<svg><path d='M0'/><style/><text>drawn</text></svg> g<p>h") == ["drawn g", "h"]
+    assert of("<p>i</p><object data='x'><p>j</p></object><canvas>k</canvas><noscript><p>l</p></noscript><p>m") == ["i", "j", "k", "l", "m"]
+    assert of("<p>n</p><svg><g>never closed<p>o</p><p>p") == ["n", "never closed", "o", "p"]
+    assert of("<p>q</p><script>r</script><style>s</style><iframe>t</iframe><p>u") == ["q", "u"]
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     pages = [rng.normal(size=(n, html_extract.WIDTH)).astype(np.float32) for n in (3, 5)]
