@@ -81,9 +81,10 @@ def plan(totals: DataFrame, a: float, budget: float | None = None) -> DataFrame:
 
 
 def copies(docs: DataFrame, entropy: float = ENTROPY, max_repeats: float | None = MAX_REPEATS, budget: float | None = None, seed: int = 0) -> DataFrame:
-    """doc_id, rkey, uid, source, n_tokens, weight, passes, copies, block for every row of docs.
+    """doc_id, rkey, uid, source, n_tokens, weight, passes, copies, block, deals for every row of docs.
 
-    copies: how often the mix holds the document.  block: the block of the source's permutation that it lies in.
+    copies: how often the mix holds the document.  block: the block of the last pass's permutation that it lies in.
+    deals: for each pass that holds it (pass, block, place), its place in that pass's own permutation and the block that is in.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", "source", row_key(F.col("doc_id"), text).alias("rkey"), n_tokens(F.col("text")).alias("n_tokens"), F.monotonically_increasing_id().alias("uid"))
@@ -121,7 +122,16 @@ def copies(docs: DataFrame, entropy: float = ENTROPY, max_repeats: float | None
     # without an edge the last pass is empty or, at the very end of the range, whole
     early = F.col("prefix").isNotNull() & (_prefix(depth) < F.col("prefix")) & (F.col("n_tokens") > 0)
     extra = F.when(early, 1).otherwise(F.coalesce(F.col("last"), F.lit(0)))
-    return out.select("doc_id", "rkey", "uid", "source", "n_tokens", "weight", "passes", (F.coalesce(F.col("whole"), F.lit(1)) + extra).cast("int").alias("copies"), F.shiftrightunsigned("place", 48).cast("int").alias("block"))
+    whole = F.coalesce(F.col("whole"), F.lit(1)).cast("int")
+    out = out.withColumn("copies", (whole + extra).cast("int"))
+
+    def deal(k: Column) -> Column:
+        # the last pass ends at a cut of its places, so they are those that were cut
+        place = F.when(k == whole, F.col("place")).otherwise(F.xxhash64("rkey", F.lit(seed), k))
+        return F.struct(k.alias("pass"), F.shiftrightunsigned(place, 48).cast("int").alias("block"), place.alias("place"))
+
+    deals = F.transform(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>")), deal)
+    return out.select("doc_id", "rkey", "uid", "source", "n_tokens", "weight", "passes", "copies", F.shiftrightunsigned("place", 48).cast("int").alias("block"), deals.alias("deals"))
 
 
 def _prefix(depth: int) -> Column:
@@ -138,11 +148,11 @@ def _small(totals: DataFrame) -> bool:
 
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, max_repeats: float | None = MAX_REPEATS, budget: float | None = None, seed: int = 0) -> DataFrame:
-    """The columns of documents, each row as often as the mix holds it."""
-    counted = copies(docs, entropy, max_repeats, budget, seed).groupBy("rkey").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n"))
+    """The columns of documents, each row as often as the mix holds it; dealt by pass and block, a pass after another, in the order of its permutation."""
+    counted = copies(docs, entropy, max_repeats, budget, seed).groupBy("rkey").agg(F.max_by("deals", "copies").alias("deals"))
     text = F.coalesce(F.col("text"), F.lit(""))
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     keyed = docs.select(*names, row_key(F.col("doc_id"), text).alias("rkey"))
-    # rows that repeat both id and text share the copies of all of them
-    times = F.ceil(F.col("c") / F.col("n")).cast("int")
-    return keyed.join(counted, "rkey").select(*names, F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).select(*names)
+    # rows that repeat both id and text differ by the last pass at most; each is in all passes that hold one
+    dealt = keyed.join(counted, "rkey").select(*names, F.explode("deals").alias("deal")).select(*names, "deal.*")
+    return dealt.repartition("pass", "block").sortWithinPartitions("pass", F.shiftrightunsigned("place", 48), F.shiftrightunsigned("place", 1)).select(*names)

@@ -361,6 +361,21 @@ def test_mixing(spark, docs, none):
     assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars"] and mixed.count() == sum(r["copies"] for r in odd)
 
 
+def test_mixing_deals_each_pass_anew(spark):
+    some = spark.createDataFrame([(i, f"text {i} " * (1 + i % 5), "en", "big" if i % 10 else "small", 0) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    rows = mixing.copies(some).collect()
+    assert max(r["copies"] for r in rows) > 1
+    assert all([x["pass"] for x in r["deals"]] == list(range(r["copies"])) and len({x["place"] for x in r["deals"]}) == r["copies"] for r in rows)
+    twice = [r for r in rows if r["copies"] > 1]
+    first, second = (sorted((r["doc_id"] for r in twice), key=lambda d, k=k: {r["doc_id"]: r["deals"][k]["place"] for r in twice}[d]) for k in (0, 1))
+    assert first != second
+    mixed = [[r["doc_id"] for r in part] for part in mixing.mix(some).rdd.glom().collect()]
+    assert sorted(d for part in mixed for d in part) == sorted(r["doc_id"] for r in rows for _ in range(r["copies"]))
+    passes = {r["doc_id"]: {x["pass"] for x in r["deals"]} for r in rows}
+    again = [d for part in mixed for d, e in zip(part, part[1:]) if d == e and passes[d] > {0}]
+    assert len(again) <= len(twice) // 10
+
+
 def test_packing(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
