@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, html_extract, jaccard, line_dedup, lm_scoring, mixing, packing, suffix_dedup, topk
 from . import quality as ranking
@@ -22,7 +23,7 @@ def op3_bilstm_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.copies(read(spark, sf_dir, "documents")).drop("rkey", "uid")
+    return mixing.permutation(read(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
 
 def op5_parity_sketch_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,29 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   arg_min(doc_id, struct_pack(a := -n, b := doc_id)) AS keep_id, bool_or(doc_id <= ends) AS known
            FROM d GROUP BY 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256, known FROM d JOIN g USING (text_sha256)""",
+    # the exponent is the largest of the grid 0, 1, .. 2 ** 20 over 2 ** 20 that has the target entropy, or the least that keeps repeats
+    "op4_temperature_mixing": r"""
+WITH RECURSIVE
+     d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens,
+                  CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
+     t AS (SELECT source, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY source HAVING sum(n_tokens) > 0),
+     s AS (SELECT tokens / (SELECT sum(tokens) FROM t) AS p FROM t),
+     b(lo, hi) AS (SELECT 0, 1048576 UNION ALL
+                   SELECT CASE WHEN ok THEN m ELSE lo END, CASE WHEN ok THEN hi ELSE m END
+                   FROM (SELECT lo, hi, m, (SELECT ln(sum(p ** (m / 1048576))) - sum(p ** (m / 1048576) * (m / 1048576) * ln(p)) / sum(p ** (m / 1048576)) FROM s)
+                                >= 0.92 * ln((SELECT count(*) FROM s)) AS ok
+                         FROM (SELECT lo, hi, (lo + hi) // 2 AS m FROM b WHERE hi - lo > 1))),
+     e AS (SELECT CASE WHEN (SELECT count(*) FROM s) = 1 THEN 1.0
+                       WHEN (SELECT ln(sum(p)) - sum(p * ln(p)) / sum(p) FROM s) >= 0.92 * ln((SELECT count(*) FROM s)) THEN 1.0
+                       ELSE greatest((SELECT max(lo) / 1048576 FROM b), coalesce(1 - ln(2) / nullif((SELECT ln(max(tokens) / min(tokens)) FROM t), 0), 0)) END AS a),
+     w AS (SELECT source, tokens, tokens ** a / sum(tokens ** a) OVER () AS weight, sum(tokens ** a) OVER () * max(tokens ** (1 - a)) OVER () AS total FROM t, e),
+     k AS (SELECT *, floor(weight * total / tokens + 1e-9) AS whole, greatest(0, weight * total - floor(weight * total / tokens + 1e-9) * tokens) AS rest FROM w),
+     r AS (SELECT d.*, k.weight, coalesce(k.whole, 1) AS whole,
+                  CAST(n_tokens > 0 AND k.rest > 0.5 AND sum(n_tokens) OVER (PARTITION BY d.source ORDER BY place) <= k.rest AS INT) AS last
+           FROM d LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+     o AS (SELECT *, unnest(generate_series(0, CAST(whole AS BIGINT) + last - 1)) AS pass FROM r),
+     q AS (SELECT *, CASE WHEN pass = whole THEN place ELSE CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || pass), 1, 15) AS BIGINT) END AS spot FROM o)
+SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, CAST(pass AS INT) AS pass, CAST(spot >> 44 AS INT) AS block, spot AS place FROM q""",
     "op6_line_dedup": rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
      l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
