@@ -14,6 +14,13 @@ its smaller set.  Sets with too few cells in use (never seen; their chance falls
 exponentially) turn their band's cells into single members, where the bound always
 holds, so nothing is lost.  Cells travel in packed blocks by hash, not as rows.
 
+A cell that many sets share (a frequent phrase) tells little, and need not be looked
+at: cells are ordered by how many sets hold them, and as linked sets differ in a/4
+cells at most, they share one of the a/4 + 1 rarest of each (a/5 + 1 of single
+members).  So a set leaves the lists of more than LONG sets, the longest first, as
+long as that many of its cells remain.  What stays in a long list is dealt in rows;
+a task that gathers lists sends entries of long ones on as it meets them.
+
 Equal sets are first reduced to one representative with map-side combine.  Sets
 that share a cell form a list; its pairs are not emitted.  A star from the list's
 first member comes first, pruned by the Hamming distance of the one-bit sketches
@@ -40,7 +47,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, row_key, shuffle_partitions, utf8_column
@@ -50,6 +57,8 @@ from .words import LOWER, chunks, prefix_hash, slice_hash, words
 N, BAND, LITTLE = 5, 1.5, 40
 #: Cells of a bucket on average; cells gathered before blocks are sent on; members of a tile.
 BUCKET, FLUSH, TILE = 1 << 20, 1 << 20, 512
+#: Sets of a list at most, beyond which it is dealt in rows; entries that a task gathers before it looks for such lists.
+LONG, GATHER = 512, 4 << 20
 #: Sets and members of a tile of a component at most; columns of a matrix of members.
 SIDE, HELD, COLUMNS = 1024, 1 << 20, 4096
 #: One-bit cells per member at least.
@@ -75,7 +84,7 @@ def band_of(sizes: np.ndarray) -> np.ndarray:
 def cells_of(band: np.ndarray) -> np.ndarray:
     """Cells of a band's sketch; 0 where every member is a cell of its own."""
     top = BANDS[band]
-    return np.where(top < LITTLE, 0, (top * 35) // 100 + 8)
+    return np.where(top < LITTLE, 0, (top * 42) // 100 + 8)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +155,12 @@ def roles(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, lower
 
 
+def spare(sizes: np.ndarray, bands: np.ndarray, used: np.ndarray, plain: frozenset) -> np.ndarray:
+    """How many of its cells in use a set can leave out, whichever they are in an order that all sets share."""
+    single = (cells_of(np.maximum(bands, 0)) == 0) | np.isin(bands, list(plain))
+    return np.clip(used - np.where(single, sizes // 5, sizes // 4) - 1, 0, 2**15 - 1)
+
+
 def _profiles(n: int):
     schema = pa.schema([("doc_id", pa.int64()), ("rkey", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.binary()), ("weak", pa.int32())])
 
@@ -174,12 +189,15 @@ def _profiles(n: int):
     return profiles
 
 
-BLOCK = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("at", pa.binary()), ("keys", pa.binary())])
+BLOCK = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("at", pa.binary()), ("keys", pa.binary())])
+#: A set in a block: its size, and the cells it can spare in its own band and in the lower one; tag tells texts of one id apart.
+SET = np.dtype([("doc", "<i8"), ("n", "<i4"), ("own", "<i2"), ("lower", "<i2"), ("tag", "<i4")])
+ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("spare", "<i2"), ("role", "<i2"), ("tag", "<i4")])
 
 
 def _cells(n: int, buckets: int, plain: frozenset):
     def send(held: list) -> pa.RecordBatch:
-        ids, sizes, of, keys = (np.concatenate(x) for x in zip(*held))
+        sets, of, keys = (np.concatenate(x) for x in zip(*held))
         # the last bit of an entry tells whether it is the band's own (0) or the next band's (1)
         bucket = (keys % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -188,21 +206,24 @@ def _cells(n: int, buckets: int, plain: frozenset):
         rows = []
         for s, e in zip(start, [*start[1:], len(keys)]):
             here, at = np.unique(of[s:e] >> 1, return_inverse=True)
-            rows.append((int(bucket[s]), ids[here].tobytes(), sizes[here].tobytes(), ((at << 1) | (of[s:e] & 1)).astype(np.uint32).tobytes(), keys[s:e].tobytes()))
+            rows.append((int(bucket[s]), sets[here].tobytes(), ((at << 1) | (of[s:e] & 1)).astype(np.uint32).tobytes(), keys[s:e].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCK)], schema=BLOCK)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, texts = [], 0, 0
         for batch in batches:
             data, offsets = utf8_column(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
+            ids, tags = batch.column("doc_id").to_numpy(), batch.column("rkey").to_numpy() & 0x7FFFFFFF
             for a, b in chunks(offsets):
                 of, members = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 per = np.bincount(of, minlength=b - a)
-                own, lower = roles(per)
+                own, lower = roles(np.where(per > 3, per, 0))  # smaller sets are linked to equal ones only
                 o1, k1 = xor_cells(of, members, own, plain)
                 o2, k2 = xor_cells(of, members, lower, plain)
-                held.append((ids[a:b], per, np.r_[(o1 + texts) << 1, ((o2 + texts) << 1) | 1], np.r_[k1, k2]))
+                sets = np.zeros(b - a, SET)
+                sets["doc"], sets["n"], sets["tag"] = ids[a:b], per, tags[a:b]
+                sets["own"], sets["lower"] = spare(per, own, np.bincount(o1, minlength=b - a), plain), spare(per, lower, np.bincount(o2, minlength=b - a), plain)
+                held.append((sets, np.r_[(o1 + texts) << 1, ((o2 + texts) << 1) | 1], np.r_[k1, k2]))
                 texts += b - a
                 size += len(k1) + len(k2)
                 if size >= FLUSH:
@@ -214,31 +235,33 @@ def _cells(n: int, buckets: int, plain: frozenset):
     return cells
 
 
-LISTS = "a long, b long, own binary, others binary"
+LISTS = "a long, b long, own binary, others binary, entries binary"
+
+
+def _entries(block: pd.Series) -> np.ndarray:
+    sets, at = np.frombuffer(block["sets"], SET), np.frombuffer(block["at"], np.uint32)
+    mine, role = sets[at >> 1], at & 1
+    out = np.zeros(len(at), ENTRY)
+    out["key"], out["role"], out["spare"] = np.frombuffer(block["keys"], np.uint64), role, np.where(role == 1, mine["lower"], mine["own"])
+    for name in ("doc", "n", "tag"):
+        out[name] = mine[name]
+    return out
+
+
+def _shared(entries: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order of key, role and document; where lists start; and how many entries each has, LONG + 1 at least for frequent keys."""
+    entries = entries[np.lexsort((entries["tag"], entries["doc"], entries["role"], entries["key"]))]
+    k, d, t = entries["key"], entries["doc"], entries["tag"]
+    entries = entries[np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1])]] if len(k) else entries
+    k = entries["key"]
+    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[start, len(k)])
+    return entries, start, np.where(np.isin(k[start], frequent), np.maximum(count, LONG + 1), count)
 
 
-def _lists(frame: pd.DataFrame) -> pd.DataFrame:
+def _list_rows(entries: np.ndarray, start: np.ndarray) -> pd.DataFrame:
     """The star pairs (a, b) of each list, and lists of three and more: their members of the band itself and of the next."""
-    ids, sizes, at, keys, base = [], [], [], [], 0
-    for d, s, i, k in zip(frame["docs"], frame["sizes"], frame["at"], frame["keys"]):
-        d = np.frombuffer(d, np.int64)
-        ids.append(d)
-        sizes.append(np.frombuffer(s, np.int64))
-        at.append(np.frombuffer(i, np.uint32).astype(np.int64) + 2 * base)
-        keys.append(np.frombuffer(k, np.uint64))
-        base += len(d)
-    ids, sizes, at, keys = (np.concatenate(x) for x in (ids, sizes, at, keys))
-    order = np.argsort(keys)
-    keys = keys[order]
-    same = keys[1:] == keys[:-1]
-    inside = np.r_[False, same] | np.r_[same, False]
-    keys, at = keys[inside], at[order[inside]]
-    doc, size, role = ids[at >> 1], sizes[at >> 1], at & 1
-    order = np.lexsort((doc, role, keys))
-    keys, doc, size, role = keys[order], doc[order], size[order], role[order]
-    new = np.r_[True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])] if len(keys) else np.zeros(0, bool)
-    keys, doc, size, role = keys[new], doc[new], size[new], role[new]
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    keys, doc, size, role = (entries[x].astype(np.int64) if x != "key" else entries[x] for x in ("key", "doc", "n", "role"))
     count = np.diff(np.r_[start, len(keys)])
     leader = np.repeat(start, count)
     star = (np.arange(len(keys)) != leader) & (role[leader] == 0)
@@ -250,15 +273,61 @@ def _lists(frame: pd.DataFrame) -> pd.DataFrame:
     for s, c in zip(start[count > 2], count[count > 2]):
         if role[s] == 0:
             n_own = int((role[s : s + c] == 0).sum())
-            entry = (doc[s : s + n_own].tobytes(), doc[s + n_own : s + c].tobytes())
-            if entry not in seen:
-                seen.add(entry)
-                more.append(entry)
-    out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "own": None, "others": None})
-    lists = pd.DataFrame(more, columns=["own", "others"])
-    lists.insert(0, "a", pd.array([pd.NA] * len(more), dtype="Int64"))
-    lists.insert(1, "b", pd.array([pd.NA] * len(more), dtype="Int64"))
-    return pd.concat([out.astype({"a": "Int64", "b": "Int64"}), lists], ignore_index=True)
+            seen.add((doc[s : s + n_own].tobytes(), doc[s + n_own : s + c].tobytes()))
+    more = sorted(seen)
+    none = pd.array([pd.NA] * len(more), dtype="Int64")
+    out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "own": None, "others": None}).astype({"a": "Int64", "b": "Int64"})
+    return pd.concat([out, pd.DataFrame({"a": none, "b": none, "own": [x for x, _ in more], "others": [x for _, x in more]})], ignore_index=True).assign(entries=None)
+
+
+def _long_rows(entries: np.ndarray) -> pd.DataFrame:
+    parts = [entries[s : s + FLUSH // 16].tobytes() for s in range(0, len(entries), FLUSH // 16)]
+    none = pd.array([pd.NA] * len(parts), dtype="Int64")
+    return pd.DataFrame({"a": none, "b": none, "own": None, "others": None, "entries": parts})
+
+
+def _lists(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lists of each bucket.  Entries of lists that have become long leave at once, so what is held has a bound whatever one key holds."""
+    bucket, held, size, most = None, [], 0, GATHER
+    frequent = np.zeros(0, np.uint64)
+
+    def flush(last: bool) -> Iterator[pd.DataFrame]:
+        nonlocal held, size, most, frequent
+        entries, start, count = _shared(np.concatenate(held), frequent)
+        long = np.repeat(count > LONG, np.diff(np.r_[start, len(entries)]))
+        if long.any():
+            frequent = np.union1d(frequent, entries["key"][start[count > LONG]])
+            yield _long_rows(entries[long])
+        entries = entries[~long]
+        held, size, most = [entries], len(entries), len(entries) + GATHER
+        if last:
+            entries, start, count = _shared(entries, frequent[:0])
+            some = np.repeat(count > 1, count)
+            entries, start, _ = _shared(entries[some], frequent[:0])
+            if len(entries):
+                yield _list_rows(entries, start)
+            held, size, most, frequent = [], 0, GATHER, np.zeros(0, np.uint64)
+
+    for frame in frames:
+        for _, block in frame.iterrows():
+            if held and block["bucket"] != bucket:
+                yield from flush(True)
+            bucket = block["bucket"]
+            held.append(_entries(block))
+            size += len(held[-1])
+            if size >= most:
+                yield from flush(False)
+    if held:
+        yield from flush(True)
+
+
+def _open_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"key": pa.int64(), "doc": pa.int64(), "n": pa.int32(), "spare": pa.int32(), "own": pa.bool_(), "tag": pa.int32()}
+    for batch in batches:
+        for raw in batch.column("entries"):
+            x = np.frombuffer(raw.as_buffer(), ENTRY)
+            columns = {"key": x["key"].view(np.int64), "doc": x["doc"], "n": x["n"], "spare": x["spare"], "own": x["role"] == 0, "tag": x["tag"]}
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(columns[c]), t) for c, t in kinds.items()], names=list(kinds))
 
 
 def _hamming_ok(sa: bytes, sb: bytes, na: int, nb: int) -> bool:
@@ -495,27 +564,42 @@ class Join:
         total = self.first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         buckets = max(2 * parts, -(-total // (2 * BUCKET)))
         plain = frozenset(r[0] for r in self.rows.where("weak >= 0").select("weak").distinct().collect())
-        cells = self._texts(self.first.select("doc_id", "rkey")).mapInArrow(_cells(self.n, buckets, plain), "bucket int, docs binary, sizes binary, at binary, keys binary")
-        found = materialise(cells.groupBy("bucket").applyInPandas(_lists, LISTS), "lists")
-        star = materialise(self._sketch_pairs(found.where(F.col("a").isNotNull()).select("a", "b").distinct()), "star")
+        cells = self._texts(self.first.select("doc_id", "rkey")).mapInArrow(_cells(self.n, buckets, plain), "bucket int, sets binary, at binary, keys binary")
+        found = materialise(cells.repartition(2 * parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_lists, LISTS), "lists")
+        long = self._long_lists(found)
+        centres = long.groupBy("lid").agg(F.min(F.when(F.col("own"), F.struct(F.col("doc").alias("first"), F.col("n").alias("m")))).alias("f")).select("lid", "f.*")
+        rays = long.join(centres, "lid").where((F.col("doc") != F.col("first")) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m"))).select(F.least("doc", "first").alias("a"), F.greatest("doc", "first").alias("b"))
+        star = materialise(self._sketch_pairs(found.where(F.col("a").isNotNull()).select("a", "b").union(rays).distinct()), "star")
         # first one pair for each document: most then are in one component already
         nearest = materialise(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
         links = self._verified(nearest)
         known = components(links)
         # what is linked already is in one component and does not come again
-        again = materialise(self._different(star, known).union(self._cross_pairs(found, known)).distinct(), "cross")
+        again = materialise(self._different(star, known).union(self._cross_pairs(found, long, known)).distinct(), "cross")
         return links.union(self._verified(again))
 
+    def _long_lists(self, found: DataFrame) -> DataFrame:
+        """lid, doc, n, own, size: the entries of long lists that their sets cannot spare."""
+        every = materialise(found.where(F.col("entries").isNotNull()).mapInArrow(_open_long, "key long, doc long, n int, spare int, own boolean, tag int"), "long")
+        held = every.join(every.groupBy("key").agg(F.count(F.lit(1)).alias("held")), "key")
+        # each set leaves the longest of its long lists first
+        w = Window.partitionBy("doc", "tag", "n", "own").orderBy(F.desc("held"), "key")
+        kept = held.withColumn("at", F.row_number().over(w)).where(F.col("at") > F.col("spare"))
+        kept = materialise(kept.select(F.col("key").alias("lid"), "doc", "n", "own"), "kept")
+        sizes = kept.groupBy("lid").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("some")).where("size > 1 AND some").select("lid", F.col("size").cast("int"))
+        return materialise(kept.join(sizes, "lid"), "long-lists")
+
     @staticmethod
     def _different(pairs: DataFrame, known: DataFrame) -> DataFrame:
         ca, cb = known.select(F.col("v").alias("a"), F.col("c").alias("ca")), known.select(F.col("v").alias("b"), F.col("c").alias("cb"))
         both = pairs.join(ca, "a", "left").join(cb, "b", "left")
         return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    def _cross_pairs(self, found: DataFrame, known: DataFrame) -> DataFrame:
+    def _cross_pairs(self, found: DataFrame, long: DataFrame, known: DataFrame) -> DataFrame:
         lists = found.where(F.col("own").isNotNull()).select("own", "others").distinct()
         lists = lists.withColumn("lid", F.xxhash64(F.sha2("own", 256), F.sha2("others", 256)))
         opened = lists.mapInArrow(_open, "lid long, doc long, own boolean, size int")
+        opened = opened.union(long.select("lid", "doc", "own", "size"))
         at = opened.join(known.select(F.col("v").alias("doc"), F.col("c").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         at = materialise(at, "placed")
         split = at.groupBy("lid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("lid")
@@ -597,10 +681,13 @@ def jaccard_classes(docs: DataFrame, n: int = N) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
     """The columns of documents; of each class of near-duplicates the row with the smallest id stays.
 
-    Documents without words are not near-duplicates of anything and stay.
+    Documents without words are not near-duplicates of anything and stay.  Of rows that repeat id and text one stays;
+    rows that share an id but not a text are one document and stay together.
     """
     classes = Join(docs, n).components_only()
-    keep = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    keep = materialise(classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "keep")
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    none = docs.where(F.col("doc_id").isNull()).select(*columns)
-    return docs.select(*columns).join(keep, "doc_id", "left_semi").union(none)
+    some = docs.select(*columns)
+    once = some.join(keep.where("times = 1"), "doc_id", "left_semi")
+    often = some.join(keep.where("times > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.union(often).union(some.where(F.col("doc_id").isNull()))

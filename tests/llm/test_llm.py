@@ -180,6 +180,31 @@ def test_jaccard_when_cells_are_single_members(spark, rows, monkeypatch):
     assert by_id(join.classes(), "n_shingles", "component_id") == brute.classes(rows)
 
 
+@pytest.mark.parametrize("long,gather", [(3, 200), (40, 1 << 20)])
+def test_jaccard_of_sets_that_share_a_phrase(spark, long, gather, monkeypatch):
+    """A phrase and a passage in most texts, families among them, and entries of long lists that leave before a bucket ends."""
+    monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "GATHER", gather)
+    rng, out = np.random.default_rng(11), []
+    passage = prose(5, 30, 5000)
+    for i in range(260):
+        tail = prose(3000 + i, int(rng.integers(1, 9)), 9000) if i % 2 else passage + " " + prose(3000 + i, int(rng.integers(4, 60)), 9000)
+        out.append((len(out), "a phrase that all share " + tail))
+        for _ in range(int(rng.integers(0, 3)) if i % 5 == 0 else 0):
+            out.append((len(out), edited(out[-1][1], int(rng.integers(5)) if i % 10 else -1)))
+    for i in range(40):
+        out.append((len(out), edited(passage + " " + passage.upper() + " tail", int(rng.integers(60)))))
+    df = spark.createDataFrame(out, "doc_id long, text string").repartition(4)
+    expected = brute.classes(out)
+    assert by_id(jaccard.jaccard_classes(df), "n_shingles", "component_id") == expected and len({c for _, c in expected.values()}) < len(out) - 30
+
+
+def test_one_row_of_each_repeated_row(spark):
+    rows = [(1, "a b c d e f", "en", "s", 1)] * 3 + [(2, "A b c d e f", "en", "s", 1), (3, None, None, None, None), (3, None, None, None, None), (None, "a b c d e f", "en", "s", 1), (4, "x", "en", "s", 1), (4, "other words", "en", "s", 1)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(repr, [(1, "a b c d e f"), (3, None), (None, "a b c d e f"), (4, "x"), (4, "other words")]))
+
+
 def test_sketches_bound_the_symmetric_difference():
     rng = np.random.default_rng(0)
     for _ in range(50):
