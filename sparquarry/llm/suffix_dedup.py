@@ -1,27 +1,30 @@
-"""Removal of repeated byte strings by distributed prefix doubling over positions.
+"""Removal of repeated byte strings by distributed prefix doubling over all positions.
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document
-with a smaller id.  As in prefix doubling, positions have ranks at growing prefix
-lengths, the rank at the next length is the pair of two ranks at an offset, and a
-position that has become unique takes no further part.  Ranks are names (hashes of
-equal width for equal strings) rather than dense order numbers, since only equality
-counts here, and the first round sorts a sample that is enough to find all repeats:
-
-1.  Rank at GRAM bytes.  Among the GRAM-strings of every LENGTH-window the one with
-    the least rank (the first of equals) is the window's anchor; equal windows have
-    equal anchors at equal places.  Only anchors (about one position in 13) are dealt
-    by rank, sorted and compared.  Anchors with a unique rank drop out, and with them
-    all windows that they stand for.  An anchor whose whole context (all its windows)
-    also stands in a smaller document is settled: all its windows go.
-2.  Rank pairs at offset LENGTH - GRAM, over the windows of the anchors that are left:
-    the pair names LENGTH bytes, the threshold, and the doubling ends.  Pairs are
-    dealt, sorted and compared; a window goes if a smaller document has its pair.
-    Settled anchors are spared; one anchor per context stands for all its copies.
-
-Sorted keys travel as packed blocks.  Within a block's texts only the smallest
-document of a context is sent on (map-side combine), so a passage that a third of
-all documents share is a few rows per task.  Texts are moved by document only, twice
-at most, and only for documents that still matter the second time.
+with a smaller id.  Every position that has LENGTH bytes before its document's end
+takes part.  Its rank at 8 bytes is those bytes as a number; its rank at twice the
+length is the pair of the ranks at the position and at the offset, named anew:
+
+1.  Offset 8, rank pairs name 16 bytes.
+2.  Offset 16, rank pairs name 32 bytes, of the positions that are left.
+3.  Offset 18, rank pairs name 50 bytes, the threshold, where doubling ends.
+
+In each round the pairs of all positions left are dealt by ranges of their names,
+sorted and compared; positions whose name stands nowhere else leave.  The last round
+finds the smallest document of each name, and windows of larger documents go.
+
+Names are hashes of the pairs, since only equality counts here, not order.  In the
+first rounds they have SPARE bits more than number all positions: a name that is
+taken for repeated by chance only stays for another round.  The last names have
+2 log2(positions) + MARGIN bits (64 at least), so that at every size two different
+strings of one name are unlikely (below 2 ** -MARGIN for the whole table).
+
+Documents are first written in blocks of about BLOCK bytes with a number.  A block
+sends each different name once per round (map-side combine), sorted, as differences
+(quotients in unary, remainders in fixed width; about two bytes a name); a bucket
+answers with one bit a name.  A passage that a third of all documents share so is one
+name in each block.  Answers meet their block by its number, whatever order tasks run
+in.  A document is whole within one block.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; a
 null id orders before every other id; rows that share an id are not smaller than
@@ -31,6 +34,7 @@ one another; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,203 +44,314 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, row_key, shuffle_partitions, utf8_column
-from .words import chunks, prefix_hash, slice_hash
-
-LENGTH, GRAM = 50, 26
-#: Entries of a bucket on average; bytes of text whose entries make one block per bucket.
-BUCKET, ORIGIN = 1 << 20, 6 << 20
-FULL, OPEN = 1, 2
-PLACE = np.uint64((1 << 24) - 1)
-
-
-class Anchors:
-    """The anchors of some texts: text, place, first and last window, rank at GRAM bytes, name of the context."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-        sizes = np.diff(offsets)
-        self.hash = h = prefix_hash(data)
-        none = np.zeros(0, np.int64)
-        self.doc, self.at, self.lo, self.hi, self.rank, self.context = none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-        if not (sizes >= length).any():
-            return
-        n = len(data) - gram + 1
-        place = np.arange(n)
-        rank = slice_hash(h, place, place + gram)
-        # places of a chunk fit into 24 bits; a longer text is cut into overlapping stretches below
-        least = self._least(rank, length - gram + 1)
-        ok = np.zeros(len(data), bool)
-        edges = np.zeros(len(data) + 1, np.int64)
-        np.add.at(edges, offsets[:-1][sizes >= length], 1)
-        np.add.at(edges, (offsets[1:] - length + 1)[sizes >= length], -1)
-        ok = np.cumsum(edges[:-1])[: len(least)] > 0
-        windows = np.flatnonzero(ok)
-        m = least[windows]
-        doc = np.searchsorted(offsets, windows, "right") - 1
-        new = np.r_[True, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])]
-        first = np.flatnonzero(new)
-        self.lo, self.hi = windows[first], windows[np.r_[first[1:] - 1, len(windows) - 1]]
-        self.at, self.doc = m[first], doc[first]
-        self.rank = rank[self.at]
-        self.context = slice_hash(h, self.lo, self.hi + length) ^ mix64((self.at - self.lo).astype(np.uint64))
-
-    @staticmethod
-    def _least(rank: np.ndarray, width: int) -> np.ndarray:
-        """For each window of so many ranks the place of the least, the first of equals."""
-        n = len(rank) - width + 1
-        out = np.empty(max(n, 0), np.int64)
-        step = 1 << 23
-        for a in range(0, max(n, 0), step):
-            b = min(n, a + step)
-            part = rank[a : b + width - 1]
-            key = (part & ~PLACE) | np.arange(len(part), dtype=np.uint64)
-            size = 1
-            while 2 * size <= width:
-                key = np.minimum(key[:-size], key[size:])
-                size *= 2
-            if size < width:
-                key = np.minimum(key[: b - a], key[width - size : width - size + b - a])
-            out[a:b] = (key[: b - a] & PLACE).astype(np.int64) + a
-        return out
-
-
-def _split(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that sorts by bucket, and the starts and ends of the buckets in it."""
-    order = np.argsort(bucket, kind="stable")
-    start = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else order
-    return order, start, np.r_[start[1:], len(order)].astype(np.int64)
-
-
-def _narrow(x: np.ndarray, n: int) -> bytes:
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
-
-
-def _widen(parts, n: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, n)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :n] = raw
-    return out.view(np.uint64).ravel()
-
-
-ROUND = pa.schema([("bucket", pa.int32()), ("origin", pa.int64()), ("at", pa.binary()), ("doc", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("more", pa.binary()), ("base", pa.binary())])
-ROUND_DDL = "bucket int, origin long, at binary, doc binary, ids binary, keys binary, more binary, base binary"
-BACK = "origin long, at binary, status binary, base binary"
-
-
-def _rows(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[]] * len(ROUND)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ROUND)], schema=ROUND)
-
-
-def _deal(origin: int, buckets: int, at: np.ndarray, doc: np.ndarray, ids: np.ndarray, key: np.ndarray, width: int, more: np.ndarray | None) -> list:
-    """One row per bucket: places (as steps), documents, the keys without what the bucket says, and the second keys."""
-    order, start, end = _split((key % np.uint64(buckets)).astype(np.int64))
-    out = []
-    for s, e in zip(start, end):
-        o = order[s:e]
-        here, which = np.unique(doc[o], return_inverse=True)
-        out.append((int(key[o[0]] % np.uint64(buckets)), origin, np.diff(at[o], prepend=0).astype(np.uint32).tobytes(), np.diff(which, prepend=0).astype(np.uint32).tobytes(), ids[here].tobytes(), _narrow(key[o] // np.uint64(buckets), width), b"" if more is None else _narrow(more[o], 5), None))
+from .common import materialise, shuffle_partitions, utf8_column
+
+LENGTH = 50
+#: Bytes that a name stands for after each round; each is a doubling, the last one cut at the threshold.
+LENGTHS = (16, 32, LENGTH)
+#: Bytes of text of a block; names of a bucket on average; positions that are named at once.
+BLOCK, BUCKET, CHUNK = 12 << 20, 1 << 21, 1 << 17
+SPARE, MARGIN = 5, 10
+#: Stands for a null id.
+NONE = -(2**63)
+
+DOC = np.dtype([("doc", "<i8"), ("known", "?"), ("size", "<i8")])
+BLOCKS = "origin long, docs binary, text binary, raw long"
+SENT = "bucket int, origin long, n int, names binary, docs binary, ids binary, mask binary"
+BACK = "origin long, bucket int, bits binary, mask binary"
+DONE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in the order of their ids, block by block."""
+    origin, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def send() -> pa.RecordBatch:
+        held.sort(key=lambda x: x[0])
+        docs = np.array([(d, known, len(raw)) for d, known, raw in held], DOC)
+        text = b"".join(raw for _, _, raw in held)
+        packed = pa.Codec("zstd", 1).compress(text, asbytes=True)
+        return pa.RecordBatch.from_arrays([pa.array([origin]), pa.array([docs.tobytes()]), pa.array([packed], pa.binary()), pa.array([len(text)])], names=["origin", "docs", "text", "raw"])
+
+    for batch in batches:
+        data, offsets = utf8_column(batch.column("text"))
+        ids, known = batch.column("doc").to_pylist(), batch.column("known").to_pylist()
+        for i, (d, k) in enumerate(zip(ids, known)):
+            held.append((d, k, data[offsets[i] : offsets[i + 1]].tobytes()))
+            size += len(held[-1][2])
+            # short texts count for their entries too
+            if size + 16 * len(held) >= BLOCK:
+                yield send()
+                origin, held, size = origin + 1, [], 0
+    if held:
+        yield send()
+
+
+class Block:
+    def __init__(self, docs: bytes, text: bytes, raw: int):
+        self.docs = np.frombuffer(docs, DOC)
+        self.text = np.frombuffer(pa.Codec("zstd").decompress(text, decompressed_size=raw, asbytes=True), np.uint8)
+        self.offsets = np.r_[0, np.cumsum(self.docs["size"])].astype(np.int64)
+
+    def windows(self) -> np.ndarray:
+        """Whether LENGTH bytes of one document start at each position."""
+        edges = np.zeros(len(self.text) + 1, np.int32)
+        some = self.docs["size"] >= LENGTH
+        np.add.at(edges, self.offsets[:-1][some], 1)
+        np.add.at(edges, self.offsets[1:][some] - LENGTH + 1, -1)
+        return np.cumsum(edges[:-1]) > 0
+
+
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A name of each pair of ranks; for either one fixed it is a bijection of the other."""
+    x = left * _A
+    x ^= x >> np.uint64(31)
+    x += right
+    x *= _B
+    x ^= x >> np.uint64(32)
+    x *= _C
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def ranks(text: np.ndarray, length: int, second: bool = False) -> np.ndarray:
+    """The rank of every position of a stretch of text at so many bytes, a length of LENGTHS; positions too near to the end are left out."""
+    n = len(text) - 7
+    padded = np.zeros(len(text) + 8, np.uint8)
+    padded[: len(text)] = text
+    rank = np.empty(max(n, 0), np.uint64)
+    for k in range(min(8, len(rank))):
+        m = len(rank[k::8])
+        rank[k::8] = padded[k : k + 8 * m].view(">u8")
+    have = 8
+    for to in LENGTHS:
+        offset = to - have
+        left, right = rank[: max(len(rank) - offset, 0)], rank[offset:]
+        rank, have = (pair(right, left) if second and to == length else pair(left, right)), to
+        if to == length:
+            break
+    return rank
+
+
+def named(block: Block, mask: np.ndarray, length: int, second: bool = False) -> np.ndarray:
+    """The names of the positions in the mask, in order."""
+    out, done = np.empty(int(mask.sum()), np.uint64), 0
+    for s in range(0, len(mask), CHUNK):
+        part = mask[s : s + CHUNK]
+        at = np.flatnonzero(part)
+        if len(at):
+            out[done : done + len(at)] = ranks(block.text[s : s + CHUNK + length - 1], length, second)[at]
+            done += len(at)
     return out
 
 
-def _first_round(buckets: int):
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        origin = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            data, offsets = utf8_column(batch.column("text"))
-            ids, rkeys = batch.column("doc").to_numpy(), batch.column("rkey").to_numpy()
-            for a, b in chunks(offsets, ORIGIN):
-                parts, count = [], np.zeros(b - a, np.int64)
-                for c, d in chunks(offsets[a : b + 1]):
-                    x = Anchors(data[offsets[a + c] : offsets[a + d]], offsets[a + c : a + d + 1] - offsets[a + c])
-                    parts.append((x.doc + c, x.rank, x.context))
-                    count[c:d] = np.bincount(x.doc, minlength=d - c)
-                doc, rank, context = (np.concatenate(p) for p in zip(*parts))
-                own = ids[a:b]
-                # of equal contexts only the smallest document's go on; the others are settled here
-                settled = np.zeros(len(doc), bool)
-                order = np.lexsort((own[doc], context))
-                if len(order):
-                    new = np.r_[True, context[order][1:] != context[order][:-1]]
-                    least = own[doc[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
-                    settled[order] = own[doc[order]] > least
-                go = np.flatnonzero(~settled)
-                base = np.array([b - a, len(doc)], np.int64).tobytes() + own.tobytes() + rkeys[a:b].tobytes() + count.tobytes() + np.packbits(settled).tobytes()
-                rows = _deal(origin, buckets, go, doc[go], own, rank[go], 4, context[go])
-                yield _rows([*rows, (origin % buckets, origin, None, None, None, None, None, base)])
-                origin += 1
+def pack(values: np.ndarray, width: int) -> bytes:
+    """Sorted different numbers below 2 ** width: the steps of the upper bits in unary, the lower bits as they are."""
+    if not len(values):
+        return b""
+    low = min(60, max(0, 4 * round((width - math.log2(len(values))) / 4)))
+    high = (values >> np.uint64(low)).astype(np.int64) + np.arange(len(values))
+    bits = np.zeros(int(high[-1]) + 1, np.uint8)
+    bits[high] = 1
+    rest = values & np.uint64((1 << low) - 1)
+    whole, half = low // 8, low % 8
+    raw = np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, : whole + 1])
+    parts = [np.ascontiguousarray(raw[:, :whole]).tobytes()]
+    if half:
+        nibbles = raw[:, whole] & 15
+        nibbles = np.r_[nibbles, np.zeros(len(nibbles) % 2, np.uint8)]
+        parts.append((nibbles[::2] | nibbles[1::2] << 4).tobytes())
+    return bytes([low]) + b"".join(parts) + np.packbits(bits).tobytes()
+
+
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    low, at = raw[0], 1
+    whole, half = low // 8, low % 8
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :whole] = np.frombuffer(raw, np.uint8, n * whole, at).reshape(n, whole)
+    at += n * whole
+    if half:
+        nibbles = np.frombuffer(raw, np.uint8, (n + 1) // 2, at)
+        at += len(nibbles)
+        wide[:, whole] = np.column_stack([nibbles & 15, nibbles >> 4]).ravel()[:n]
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=at)))[:n] - np.arange(n)
+    return wide.view(np.uint64).ravel() | high.astype(np.uint64) << np.uint64(low)
+
+
+class Plan:
+    """Bits of names and buckets for so many positions."""
+
+    def __init__(self, positions: int, least: int):
+        size = math.log2(max(positions, 2))
+        self.low = max(0, math.ceil(math.log2(max(positions / BUCKET, least, 1))))
+        self.bits = min(64, max(math.ceil(size) + SPARE, self.low + 1))
+        #: Bytes of a last name beyond its 64 bits.
+        self.more = min(8, max(0, math.ceil((2 * size + MARGIN - 64) / 8)))
+
+    def width(self, last: bool) -> int:
+        return 64 if last else self.bits
+
+    def cut(self, names: np.ndarray, last: bool) -> np.ndarray:
+        return names if last else names >> np.uint64(64 - self.bits)
+
+    def split(self, names: np.ndarray, last: bool) -> np.ndarray:
+        """Where each bucket's range of sorted names starts, and the end."""
+        if not self.low:
+            return np.array([0, len(names)])
+        edges = np.arange(1, 1 << self.low, dtype=np.uint64) << np.uint64(self.width(last) - self.low)
+        return np.r_[0, np.searchsorted(names, edges), len(names)]
+
+
+def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different names in order, and whether each stands several times; names are sorted in place."""
+    names.sort()
+    start = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, np.int64)
+    return names[start], np.diff(np.r_[start, len(names)]) > 1
+
+
+class Winners:
+    """Names of the last round in order: the first position of each, which is in its smallest document, and the name of each position."""
+
+    def __init__(self, block: Block, mask: np.ndarray, more: int):
+        name = named(block, mask, LENGTH)
+        extra = named(block, mask, LENGTH, second=True) if more else name
+        if more:
+            extra = extra >> np.uint64(64 - 8 * more)
+        order = np.lexsort((extra, name)) if more else np.argsort(name, kind="stable")
+        n, e = name[order], extra[order]
+        new = np.r_[True, (n[1:] != n[:-1]) | (e[1:] != e[:-1])] if len(n) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        self.of = np.empty(len(n), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.names, self.extra = n[start], e[start]
+        self.doc = np.searchsorted(block.offsets, np.flatnonzero(mask), "right") - 1
+        self.first = self.doc[order[start]]
+
+
+def _squeeze(mask: np.ndarray) -> bytes:
+    return pa.Codec("zstd", 1).compress(np.packbits(mask).tobytes(), asbytes=True)
+
+
+def _spread(raw: bytes, n: int) -> np.ndarray:
+    size = (n + 7) // 8
+    return np.unpackbits(np.frombuffer(pa.Codec("zstd").decompress(raw, decompressed_size=size, asbytes=True), np.uint8), count=n).astype(bool)
+
+
+def _left(block: Block, mask: np.ndarray, length: int, plan: Plan, bits: np.ndarray) -> np.ndarray:
+    """The positions of a round whose names also stand elsewhere."""
+    name = plan.cut(named(block, mask, length), False)
+    different, several = distinct(name.copy())
+    stay = different[bits | several]
+    # a table of the lower bits; what it lets through by chance takes part once more
+    table = np.zeros(1 << 25, bool)
+    table[stay & np.uint64(len(table) - 1)] = True
+    out = np.zeros(len(mask), bool)
+    out[np.flatnonzero(mask)[table[name & np.uint64(len(table) - 1)]]] = True
+    return out
+
+
+def _send(origin: int, block: Block, mask: np.ndarray, k: int, plan: Plan) -> pd.DataFrame:
+    """A row for each bucket of the names of a round, and the mask, which comes back with the answers."""
+    last = k == len(LENGTHS) - 1
+    rows = [(int(origin % (1 << plan.low)), origin, 0, None, None, None, _squeeze(mask))]
+    if last:
+        w = Winners(block, mask, plan.more)
+        names, ids = w.names, block.docs["doc"]
+    else:
+        names, _ = distinct(plan.cut(named(block, mask, LENGTHS[k]), False))
+    edge = plan.split(names, last)
+    for b, (s, e) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+        if s == e:
+            continue
+        docs = used = None
+        part = names[s:e] - np.uint64(b << (plan.width(last) - plan.low))
+        if last:
+            # a name and the bytes beyond it; the names may repeat
+            where, at = np.unique(w.first[s:e], return_inverse=True)
+            wide = np.uint16 if len(where) <= 1 << 16 else np.uint32
+            docs, used = at.astype(wide).tobytes() + np.ascontiguousarray(w.extra[s:e].view(np.uint8).reshape(-1, 8)[:, : plan.more]).tobytes(), ids[where].tobytes()
+        rows.append((b, origin, e - s, pack(part, plan.width(last) - plan.low), docs, used, None))
+    return pd.DataFrame(rows, columns=["bucket", "origin", "n", "names", "docs", "ids", "mask"])
+
+
+def _first(plan: Plan):
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for origin, docs, text, raw in zip(frame["origin"], frame["docs"], frame["text"], frame["raw"]):
+                block = Block(docs, text, raw)
+                yield _send(origin, block, block.windows(), 0, plan)
 
     return first
 
 
-def _opened(frame: pd.DataFrame, width: int):
-    """Entries of a bucket: the block of each, place, document id, key, second key; and the rows that only pass through."""
-    base = frame[frame["base"].notna()]
-    some = frame[frame["base"].isna()]
-    through = pd.DataFrame({"origin": base["origin"], "at": None, "status": None, "base": base["base"]})
-    if not len(some):
-        return through, None
-    lengths = np.array([len(x) // width for x in some["keys"]])
-    keys = _widen(some["keys"], width)
-    at = np.concatenate([np.cumsum(np.frombuffer(x, np.uint32).view(np.int32)) for x in some["at"]]).astype(np.int64)
-    ids = np.concatenate([np.frombuffer(i, np.int64)[np.cumsum(np.frombuffer(x, np.uint32).view(np.int32))] for i, x in zip(some["ids"], some["doc"])])
-    more = _widen(some["more"], 5) if len(some["more"].iloc[0]) else None
-    return through, (some["origin"].to_numpy(), lengths, at, ids, keys, more)
-
-
-def _returned(origins: np.ndarray, lengths: np.ndarray, at: np.ndarray, status: np.ndarray) -> pd.DataFrame:
-    rows, s = [], 0
-    for origin, n in zip(origins, lengths):
-        hit = np.flatnonzero(status[s : s + n])
-        if len(hit):
-            rows.append((int(origin), at[s : s + n][hit].astype(np.uint32).tobytes(), status[s : s + n][hit].astype(np.uint8).tobytes(), None))
-        s += n
-    return pd.DataFrame(rows, columns=["origin", "at", "status", "base"])
-
-
-def _compare_anchors(frame: pd.DataFrame) -> pd.DataFrame:
-    through, entries = _opened(frame, 4)
-    if entries is None:
-        return through
-    origins, lengths, at, ids, keys, context = entries
-    order = np.lexsort((ids, context, keys))
-    k, c, d = keys[order], context[order], ids[order]
-    new_key = np.r_[True, k[1:] != k[:-1]]
-    new_context = new_key | np.r_[True, c[1:] != c[:-1]]
-    least = d[np.flatnonzero(new_context)][np.cumsum(new_context) - 1]
-    group = np.cumsum(new_key) - 1
-    several = np.bincount(group, new_context)[group] > 1
-    status = np.zeros(len(keys), np.uint8)
-    status[order] = np.where(d > least, FULL, np.where(several, OPEN, 0))
-    return pd.concat([through, _returned(origins, lengths, at, status)], ignore_index=True)
-
-
-def _compare_windows(frame: pd.DataFrame) -> pd.DataFrame:
-    through, entries = _opened(frame, 6)
-    if entries is None:
-        return through
-    origins, lengths, at, ids, keys, _ = entries
-    order = np.lexsort((ids, keys))
-    k, d = keys[order], ids[order]
-    new = np.r_[True, k[1:] != k[:-1]]
-    least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-    status = np.zeros(len(keys), np.uint8)
-    status[order] = d > least
-    return pd.concat([through, _returned(origins, lengths, at, status)], ignore_index=True)
-
-
-def _statuses(frame: pd.DataFrame) -> pd.DataFrame:
-    """The status of each anchor of each document that has one worth telling."""
-    base = frame["base"].dropna().iloc[0]
-    n, total = np.frombuffer(base, np.int64, 2)
-    ids, rkeys, count = np.frombuffer(base, np.int64, 3 * n, 16).reshape(3, n)
-    status = np.unpackbits(np.frombuffer(base, np.uint8, offset=16 + 24 * n))[:total] * np.uint8(FULL)
-    for at, s in zip(frame["at"], frame["status"]):
-        if at is not None:
-            status[np.frombuffer(at, np.uint32)] = np.frombuffer(s, np.uint8)
-    ends = np.cumsum(count)
-    some = [(int(i), int(r), status[e - c : e].tobytes()) for i, r, c, e in zip(ids, rkeys, count, ends) if status[e - c : e].any()]
-    return pd.DataFrame(some, columns=["doc", "rkey", "status"])
+def _answers(back: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mask of a round, and its bits, bucket after bucket."""
+    mask = _spread(back["mask"].dropna().iloc[0], n)
+    some = back[back["bits"].notna()].sort_values("bucket")
+    # each bucket's bits say first how many they are
+    bits = [np.unpackbits(np.frombuffer(x, np.uint8, offset=4), count=int.from_bytes(x[:4], "little")).astype(bool) for x in some["bits"]]
+    return mask, np.concatenate(bits) if bits else np.zeros(0, bool)
+
+
+def _next(k: int, plan: Plan):
+    def step(mine: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        block = Block(*mine.iloc[0][["docs", "text", "raw"]])
+        mask, bits = _answers(back, len(block.text))
+        return _send(int(mine["origin"].iloc[0]), block, _left(block, mask, LENGTHS[k - 1], plan, bits), k, plan)
+
+    return step
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(4, "little") + np.packbits(x).tobytes()
+
+
+def _compare(k: int, plan: Plan):
+    last = k == len(LENGTHS) - 1
+    width = plan.width(last) - plan.low
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        """A bit for each name that a block sent: it stands in another block too; in the last round, in a smaller document of another block."""
+        masks = frame[frame["mask"].notna()]
+        some = frame[frame["mask"].isna()]
+        names = [unpack(x, n) for x, n in zip(some["names"], some["n"])]
+        if not last and width <= 28:
+            times = np.zeros(1 << width, np.uint8)
+            for x in names:
+                times[x] = np.minimum(times[x] + 1, 2)
+            bits = [times[x] > 1 for x in names]
+        elif not last:
+            every, several = distinct(np.concatenate(names)) if names else (None, None)
+            bits = [several[np.searchsorted(every, x)] for x in names]
+        elif names:
+            ids, extra = [], []
+            for n, d, used in zip(some["n"], some["docs"], some["ids"]):
+                used = np.frombuffer(used, np.int64)
+                kind = np.dtype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                ids.append(used[np.frombuffer(d, kind, n)])
+                wide = np.zeros((n, 8), np.uint8)
+                wide[:, : plan.more] = np.frombuffer(d, np.uint8, n * plan.more, n * kind.itemsize).reshape(n, plan.more)
+                extra.append(wide.view(np.uint64).ravel())
+            ends = np.cumsum([len(x) for x in names])[:-1]
+            names, ids, extra = np.concatenate(names), np.concatenate(ids), np.concatenate(extra)
+            order = np.lexsort((ids, extra, names))
+            x, e, d = names[order], extra[order], ids[order]
+            new = np.r_[True, (x[1:] != x[:-1]) | (e[1:] != e[:-1])]
+            least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
+            larger = np.zeros(len(names), bool)
+            larger[order] = d > least
+            bits = np.split(larger, ends)
+        else:
+            bits = []
+        out = pd.DataFrame({"origin": some["origin"].to_numpy(), "bucket": some["bucket"].to_numpy(), "bits": [_bits(b) for b in bits], "mask": None})
+        return pd.concat([out, pd.DataFrame({"origin": masks["origin"].to_numpy(), "bucket": masks["bucket"].to_numpy(), "bits": None, "mask": masks["mask"].to_numpy()})], ignore_index=True)
+
+    return compare
 
 
 def spans_of(windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,13 +363,6 @@ def spans_of(windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return windows[start], windows[np.r_[start[1:] - 1, len(windows) - 1]] + length
 
 
-def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All whole numbers of the ranges lo..hi, and the range of each."""
-    size = hi - lo + 1
-    of = np.repeat(np.arange(len(lo)), size)
-    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + lo[of], of
-
-
 def _result(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, str]:
     gone = int((ends - starts).sum())
     keep, at = hashlib.sha256(), 0
@@ -265,126 +373,36 @@ def _result(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int
     return len(data), gone, len(starts), keep.hexdigest()
 
 
-SHA = np.dtype([("doc", "<i8"), ("rkey", "<i8"), ("known", "?"), ("bytes", "<i8"), ("removed", "<i8"), ("spans", "<i8"), ("sha", "S64"), ("windows", "<i8")])
-
-
-def _second_round(buckets: int, length: int = LENGTH, gram: int = GRAM):
-    """Blocks of rank pairs of the windows of open anchors; and per origin the results as if none of them went."""
-
-    def put(base: np.ndarray, i: int, result: tuple) -> None:
-        base["bytes"][i], base["removed"][i], base["spans"][i] = result[:3]
-        base["sha"][i] = result[3].encode()
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        origin = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            data, offsets = utf8_column(batch.column("text"))
-            ids, rkeys = batch.column("doc").to_numpy(), batch.column("rkey").to_numpy()
-            known = batch.column("known").to_numpy(zero_copy_only=False).astype(bool)
-            statuses = batch.column("status").to_pylist()
-            for a, b in chunks(offsets, ORIGIN):
-                base = np.zeros(b - a, SHA)
-                base["doc"], base["rkey"], base["known"] = ids[a:b], rkeys[a:b], known[a:b]
-                parts, sure, places = [], [], []
-                for i in range(a, b):
-                    text = data[offsets[i] : offsets[i + 1]]
-                    raw = text.tobytes()
-                    if statuses[i] is None:
-                        put(base, i - a, _result(raw, offsets[:0], offsets[:0]))
-                        continue
-                    x = Anchors(text, np.array([0, len(text)]))
-                    status = np.frombuffer(statuses[i], np.uint8)
-                    full, open_ = status == FULL, status == OPEN
-                    # runs of settled windows
-                    lo, hi = x.lo[full], x.hi[full]
-                    new = np.r_[True, lo[1:] > hi[:-1] + length] if len(lo) else np.zeros(0, bool)
-                    starts = lo[new]
-                    ends = np.maximum.accumulate(hi)[np.r_[np.flatnonzero(new)[1:] - 1, len(hi) - 1]] + length if len(lo) else lo
-                    put(base, i - a, _result(raw, starts, ends))
-                    where, _ = ranges(x.lo[open_], x.hi[open_])
-                    base["windows"][i - a] = len(where)
-                    if len(where):
-                        left, right = slice_hash(x.hash, where, where + gram), slice_hash(x.hash, where + length - gram, where + length)
-                        parts.append((np.full(len(where), i - a), mix64(left * np.uint64(0x9E3779B97F4A7C15) + right)))
-                        places.append(where)
-                    sure.append((i - a, starts, ends))
-                doc, key = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-                rows = _deal(origin, buckets, np.arange(len(doc)), doc, ids[a:b], key, 6, None) if len(doc) else []
-                where = np.concatenate(places) if places else np.zeros(0, np.int64)
-                known_spans = np.array([(d, s, e) for d, ss, es in sure for s, e in zip(ss.tolist(), es.tolist())], np.int64).reshape(-1, 3)
-                head = np.array([b - a, len(where), len(known_spans)], np.int64).tobytes()
-                yield _rows([*rows, (origin % buckets, origin, None, None, None, None, None, head + base.tobytes() + where.astype(np.int64).tobytes() + known_spans.tobytes())])
-                origin += 1
-
-    return second
-
-
-DONE = "doc long, rkey long, known boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"
-
-
-def _settle(length: int = LENGTH):
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        """Results of documents that lose no open window; of the others the spans, whose texts are needed again."""
-        raw = frame["base"].dropna().iloc[0]
-        n, m, k = np.frombuffer(raw, np.int64, 3)
-        base = np.frombuffer(raw, SHA, n, 24)
-        where = np.frombuffer(raw, np.int64, m, 24 + n * SHA.itemsize)
-        sure = np.frombuffer(raw, np.int64, 3 * k, 24 + n * SHA.itemsize + 8 * m).reshape(-1, 3)
-        hit = np.zeros(m, bool)
-        for at in frame["at"]:
-            if at is not None:
-                hit[np.frombuffer(at, np.uint32)] = True
-        ends = np.cumsum(base["windows"])
-        first = np.searchsorted(sure[:, 0], np.arange(n + 1))
+def _settle(plan: Plan):
+    def settle(mine: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        block = Block(*mine.iloc[0][["docs", "text", "raw"]])
+        mask, bits = _answers(back, len(block.text))
+        w = Winners(block, mask, plan.more)
+        ids = block.docs["doc"]
+        gone = np.flatnonzero(mask)[bits[w.of] | (ids[w.doc] > ids[w.first][w.of])]
+        first = np.searchsorted(gone, block.offsets)
         rows = []
-        for i, (r, e) in enumerate(zip(base, ends)):
-            spans = None
-            mine = slice(e - r["windows"], e)
-            if r["windows"] and hit[mine].any():
-                s, t = spans_of(np.sort(where[mine][hit[mine]]), length)
-                old = sure[first[i] : first[i + 1], 1:]
-                s, t = np.r_[s, old[:, 0]], np.r_[t, old[:, 1]]
-                order = np.argsort(s, kind="stable")
-                s, t = s[order], np.maximum.accumulate(t[order])
-                new = np.r_[True, s[1:] > t[:-1]]
-                at = np.flatnonzero(new)
-                spans = np.stack([s[at], t[np.r_[at[1:] - 1, len(t) - 1]]], 1).tobytes()
-            rows.append((int(r["doc"]), int(r["rkey"]), bool(r["known"]), int(r["bytes"]), int(r["removed"]), int(r["spans"]), r["sha"].decode(), spans))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in DONE.split(", ")])
+        for i, d in enumerate(block.docs):
+            s, e = block.offsets[i], block.offsets[i + 1]
+            starts, ends = spans_of(gone[first[i] : first[i + 1]] - s, LENGTH)
+            rows.append((int(d["doc"]) if d["known"] else None, *_result(block.text[s:e].tobytes(), starts, ends)))
+        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return out.astype({"doc_id": "Int64"})
 
     return settle
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text"), batch.column("spans")):
-            s = np.frombuffer(spans.as_py(), np.int64).reshape(-1, 2)
-            out.append(_result(text.as_buffer().to_pybytes(), s[:, 0], s[:, 1]))
-        columns = list(zip(*out)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("known"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc", "known", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-#: Stands for a null id.
-NONE = -(2**63)
-
-
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), row_key(F.col("doc_id"), text).alias("rkey"), F.col("doc_id").isNotNull().alias("known"), text.alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = int(max(2 * shuffle_partitions(spark), -(-size // (13 * BUCKET))))
-    sent = rows.select("doc", "rkey", "text").mapInArrow(_first_round(buckets), ROUND_DDL)
-    back = sent.groupBy("bucket").applyInPandas(_compare_anchors, BACK)
-    statuses = materialise(back.groupBy("origin").applyInPandas(_statuses, "doc long, rkey long, status binary").dropDuplicates(["doc", "rkey"]), "anchors")
-    joined = rows.join(statuses, ["doc", "rkey"], "left").select("doc", "rkey", "known", "text", "status")
-    sent = joined.mapInArrow(_second_round(buckets), ROUND_DDL)
-    back = sent.groupBy("bucket").applyInPandas(_compare_windows, BACK)
-    done = materialise(back.groupBy("origin").applyInPandas(_settle(), DONE), "spans")
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    again = done.where(F.col("spans").isNotNull()).select("doc", "rkey", "spans")
-    cut = rows.join(again.dropDuplicates(["doc", "rkey"]), ["doc", "rkey"]).select("doc", "known", "text", "spans").mapInArrow(_cut, "doc long, known boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    out = done.where(F.col("spans").isNull()).select("doc", "known", *names).union(cut)
-    return out.select(F.when(F.col("known"), F.col("doc")).alias("doc_id"), *names)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    blocks = materialise(rows.mapInArrow(_blocks, BLOCKS), "blocks", "uncompressed")
+    plan = Plan(blocks.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0], 2 * shuffle_partitions(spark))
+    replies = None
+    for k in range(len(LENGTHS)):
+        if k == 0:
+            sent = blocks.mapInPandas(_first(plan), SENT)
+        else:
+            sent = blocks.groupBy("origin").cogroup(replies.groupBy("origin")).applyInPandas(_next(k, plan), SENT)
+        replies = materialise(sent.groupBy("bucket").applyInPandas(_compare(k, plan), BACK), "answers")
+    return blocks.groupBy("origin").cogroup(replies.groupBy("origin")).applyInPandas(_settle(plan), DONE)
