@@ -16,8 +16,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones of its input, doesn't reject."""
-    table = materialise(quality.feature_table(docs), "features")
-    return quality.keep_good(docs, quality.train(table, read(spark, sf_dir, "labels")))
+    return quality.keep_good(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

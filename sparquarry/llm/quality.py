@@ -4,13 +4,16 @@ A document's strength is a linear function of features of its whole text.  For
 pairs of a preferred (label 1) and another (label 0) labelled document the
 logistic loss of the difference of strengths is least at the fitted weights, as
 in the Bradley-Terry model; only differences of features enter, so there is no
-intercept.  The cut is a quantile of the strengths of the training rows, chosen
-among all quantiles for the fewest errors on them; strengths are then mapped to
+intercept.  Features are what the text says (its words, each for itself, and its
+runs of three bytes, hashed into WORD_CELLS and GRAM_CELLS signed cells, damped and
+brought to unit length) and how it is written (shares of kinds of characters and of
+words).  The cut is the quantile of the training rows' strengths at the share of
+them that is labelled 0, halfway to the next strength; strengths are then mapped to
 0..1 so that the cut comes to lie at THRESHOLD.
 
 The model is fitted on the driver on SAMPLE labelled rows at most (a documented
-bound) and PAIRS pairs; features and scores are computed for every document where
-it is read, without a shuffle of texts.
+bound) and PAIRS pairs; only their features are computed for it.  Every document is
+scored where it is read, without a shuffle of texts.
 
 Defined results: a null text counts as empty; empty texts get a score like any
 other text; without rows of both labels nothing can be learnt and every score is
@@ -27,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8_column
+from .common import mix64, utf8_column
 from .words import LOWER, chunks, prefix_hash, slice_hash, words
 
-SAMPLE, PAIRS, THRESHOLD = 20_000, 200_000, 0.7
-RIDGE = 1e-3
+SAMPLE, PAIRS, THRESHOLD = 20_000, 50_000, 0.7
+#: Weights of squared weights in the loss, of rates and of cells.
+RIDGE, CELL_RIDGE = 1e-3, 1e-3
+WORD_CELLS, GRAM_CELLS = 128, 128
 
 #: Classes of bytes: 0 other, 1 lower case, 2 upper case, 3 digit, 4 space, 5 line end, 6 stop, 7 mark, 8 bar, 9 exclamation, 10 symbol, 11 start of a wider character.
 CLASS = np.zeros(256, np.uint8)
@@ -39,7 +44,8 @@ for _kind, _bytes in enumerate((b"", bytes(range(97, 123)), bytes(range(65, 91))
     CLASS[list(_bytes)] = _kind
 N_CLASS = 12
 RATES = 18
-N_FEATURES = 2 * RATES + 1
+N_RATES = 2 * RATES + 1
+N_FEATURES = N_RATES + WORD_CELLS + GRAM_CELLS
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -70,20 +76,34 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         share(same), 1 - unique / some, share(length <= 2), share(length >= 16), share(last == 6),
         share((last >= 8) & (last <= 10)), share(first == 2),
     ])
-    return np.column_stack([rates, np.log1p(100 * rates), np.log1p(per)])
+    lower = LOWER[data].astype(np.uint64)
+    grams = np.zeros(0, np.uint64)
+    if len(lower) > 2:
+        grams = mix64(lower[:-2] | lower[1:-1] << np.uint64(8) | lower[2:] << np.uint64(16))
+    inside = np.flatnonzero(text[2:] == text[:-2]) if len(grams) else np.zeros(0, np.int64)
+    return np.column_stack([rates, np.log1p(100 * rates), np.log1p(per), _cells(of, h, n, WORD_CELLS), _cells(text[inside], grams[inside], n, GRAM_CELLS)])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8_column(batch.column(1))
-        parts = [features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
-        x = np.vstack(parts) if parts else np.zeros((0, N_FEATURES))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.astype(np.float32).ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "x"])
+def _cells(of: np.ndarray, h: np.ndarray, n: int, cells: int) -> np.ndarray:
+    """Signed counts of hashes by text, damped, as unit vectors."""
+    at = of * cells + ((h >> np.uint64(8)) % np.uint64(cells)).astype(np.int64)
+    odd = (h & np.uint64(1)).astype(bool)
+    size = n * cells
+    x = (np.bincount(at[odd], minlength=size) - np.bincount(at[~odd], minlength=size)).reshape(n, cells).astype(float)
+    x = np.sign(x) * np.log1p(np.abs(x))
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+
 
+def of_column(column: pa.Array) -> np.ndarray:
+    data, offsets = utf8_column(column)
+    parts = [features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
+    return np.vstack(parts).astype(np.float32) if parts else np.zeros((0, N_FEATURES), np.float32)
 
-def feature_table(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_features, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<float>")
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = [row.tobytes() for row in of_column(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -109,63 +129,54 @@ class BradleyTerry:
         if not len(good) or not len(bad):
             return cls(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, False)
         mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+        scale[N_RATES:] = 0.1  # cells are on one scale already
+        ridge = np.where(np.arange(x.shape[1]) < N_RATES, RIDGE, CELL_RIDGE)
         z = (x - mean) / scale
         rng = np.random.default_rng(seed)
         d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
         w = np.zeros(d.shape[1])
         for _ in range(30):  # Newton steps on the convex loss
             p = sigmoid(-(d @ w))
-            gradient = RIDGE * w - d.T @ p / pairs
-            hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + RIDGE * np.eye(len(w))
+            gradient = ridge * w - d.T @ p / pairs
+            hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + np.diag(ridge)
             step = np.linalg.solve(hessian, gradient)
             step *= min(1.0, 5 / max(np.abs(step).max(), 1e-12))
             w -= step
             if np.abs(step).max() < 1e-6:
                 break
-        s = z @ w
-        order = np.argsort(s, kind="stable")
-        # errors when the cut stands before the i-th row: rejected good rows and kept bad ones
-        wrong = np.r_[0, np.cumsum(y[order] == 1)] + np.r_[(y == 0).sum(), (y == 0).sum() - np.cumsum(y[order] == 0)]
-        best = np.flatnonzero(wrong == wrong.min())
-        i, ranked = int(best[len(best) // 2]), s[order]
-        cut = ranked[0] - 1 if i == 0 else ranked[-1] + 1 if i == len(s) else (ranked[i - 1] + ranked[i]) / 2
-        return cls(mean, scale, w, float(cut))
+        ranked = np.sort(z @ w)
+        i = len(bad)  # the quantile: as many lie below as are labelled 0
+        return cls(mean, scale, w, float((ranked[i - 1] + ranked[i]) / 2))
 
 
 def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def train(table: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BradleyTerry:
-    """table: feature_table(); labels: doc_id and quality.  Rows with held_out() are never seen."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    rows = table.where(~held_out()).join(known, "doc_id").select("y", "x", "doc_id")
-    share = 1.2 * sample / max(1, known.count())
-    if share < 1:  # a share of all hashes first, so that tasks together send about a sample to the driver
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BradleyTerry:
+    """labels: doc_id and quality.  Rows with held_out() are never seen."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    # at most sample labels, the first in the order of a hash; that many rows are few enough to send to every task
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, x binary")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample).collect()
-    x = np.array([r.x for r in rows], np.float64).reshape(-1, N_FEATURES)
+    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
     return BradleyTerry.fit(x, np.array([r.y for r in rows], np.int64))
 
 
-def _scores(model: BradleyTerry):
+def score_table(docs: DataFrame, model: BradleyTerry) -> DataFrame:
+    """doc_id, score for every row."""
+
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, N_FEATURES).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
-
-    return scores
-
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(of_column(batch.column("text"))))], names=["doc_id", "score"])
 
-def score_table(table: DataFrame, model: BradleyTerry) -> DataFrame:
-    """doc_id, score for every row of feature_table()."""
-    return table.mapInArrow(_scores(model), f"doc_id {dict(table.dtypes)['doc_id']}, score double")
+    return docs.select("doc_id", "text").mapInArrow(scores, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
-    table = materialise(feature_table(docs), "features")
-    scored = score_table(table, train(table, labels))
+    scored = score_table(docs, train(docs, labels))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -174,10 +185,7 @@ def keep_good(docs: DataFrame, model: BradleyTerry) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8_column(batch.column(1))
-            parts = [features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
-            x = np.vstack(parts) if parts else np.zeros((0, N_FEATURES))
-            yield batch.filter(pa.array(model.score(x.astype(np.float32).astype(np.float64)) >= THRESHOLD))
+            yield batch.filter(pa.array(model.score(of_column(batch.column("text"))) >= THRESHOLD))
 
     columns = docs.select("doc_id", "text", "lang", "source", "n_chars")
     return columns.mapInArrow(keep, columns.schema)

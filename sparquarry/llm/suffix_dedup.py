@@ -11,7 +11,9 @@ length is the pair of the ranks at the position and at the offset, named anew:
 
 In each round the pairs of all positions left are dealt by ranges of their names,
 sorted and compared; positions whose name stands nowhere else leave.  The last round
-finds the smallest document of each name, and windows of larger documents go.
+finds the smallest document of each name, and windows of larger documents go; it is
+run for PARTS ranges of names one after another, as its names are the longest and
+what lies on disk at once would be the most.
 
 Names are hashes of the pairs, since only equality counts here, not order.  In the
 first rounds they have SPARE bits more than number all positions: a name that is
@@ -19,8 +21,9 @@ taken for repeated by chance only stays for another round.  The last names have
 2 log2(positions) + MARGIN bits (64 at least), so that at every size two different
 strings of one name are unlikely (below 2 ** -MARGIN for the whole table).
 
-Documents are first written in blocks of about BLOCK bytes with a number.  A block
-sends each different name once per round (map-side combine), sorted, as differences
+Documents are first sorted by id and written in blocks of about BLOCK bytes with a
+number, so that the smallest document of a name is in the first block that has it
+(blocks meet in one id at most, which two bits a name tell apart).  A block sends each different name once per round (map-side combine), sorted, as differences
 (quotients in unary, remainders in fixed width; about two bytes a name); a bucket
 answers with one bit a name.  A passage that a third of all documents share so is one
 name in each block.  Answers meet their block by its number, whatever order tasks run
@@ -44,20 +47,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, utf8_column
+from .common import discard, materialise, utf8_column
 
 LENGTH = 50
 #: Bytes that a name stands for after each round; each is a doubling, the last one cut at the threshold.
 LENGTHS = (16, 32, LENGTH)
 #: Bytes of text of a block; names of a bucket on average; positions that are named at once.
-BLOCK, BUCKET, CHUNK = 12 << 20, 1 << 21, 1 << 17
+BLOCK, BUCKET, CHUNK = 8 << 20, 1 << 21, 1 << 17
 SPARE, MARGIN = 5, 10
+#: Ranges of names of the last round; a power of two.
+PARTS = 2
+#: Rounds: bytes named, and the range of names out of how many.
+ROUNDS = [(16, 0, 1), (32, 0, 1), *((LENGTH, p, PARTS) for p in range(PARTS))]
 #: Stands for a null id.
 NONE = -(2**63)
 
 DOC = np.dtype([("doc", "<i8"), ("known", "?"), ("size", "<i8")])
 BLOCKS = "origin long, docs binary, text binary, raw long"
-SENT = "bucket int, origin long, n int, names binary, docs binary, ids binary, mask binary"
+SENT = "bucket int, origin long, n int, names binary, more binary, flags binary, first long, last long, mask binary"
 BACK = "origin long, bucket int, bits binary, mask binary"
 DONE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -186,9 +193,9 @@ def unpack(raw: bytes, n: int) -> np.ndarray:
 class Plan:
     """Bits of names and buckets for so many positions."""
 
-    def __init__(self, positions: int, least: int):
+    def __init__(self, positions: int):
         size = math.log2(max(positions, 2))
-        self.low = max(0, math.ceil(math.log2(max(positions / BUCKET, least, 1))))
+        self.low = max(0, math.ceil(math.log2(max(positions / BUCKET, PARTS))))
         self.bits = min(64, max(math.ceil(size) + SPARE, self.low + 1))
         #: Bytes of a last name beyond its 64 bits.
         self.more = min(8, max(0, math.ceil((2 * size + MARGIN - 64) / 8)))
@@ -215,22 +222,51 @@ def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Winners:
-    """Names of the last round in order: the first position of each, which is in its smallest document, and the name of each position."""
-
-    def __init__(self, block: Block, mask: np.ndarray, more: int):
-        name = named(block, mask, LENGTH)
-        extra = named(block, mask, LENGTH, second=True) if more else name
+    """Names of the last round in order, the smallest document of each in the block, and the name of each position."""
+
+    def __init__(self, block: Block, mask: np.ndarray, more: int, part: int = 0, parts: int = 1):
+        name, place = named(block, mask, LENGTH), np.flatnonzero(mask)
+        extra = named(block, mask, LENGTH, second=True) >> np.uint64(64 - 8 * more) if more else None
+        if parts > 1:
+            mine = np.flatnonzero(name >> np.uint64(65 - parts.bit_length()) == part)
+            name, place, extra = name[mine], place[mine], extra[mine] if more else None
+        order = self._order(name, extra)
+        n = name[order]
+        new = np.r_[True, n[1:] != n[:-1]] if len(n) else np.zeros(0, bool)
         if more:
-            extra = extra >> np.uint64(64 - 8 * more)
-        order = np.lexsort((extra, name)) if more else np.argsort(name, kind="stable")
-        n, e = name[order], extra[order]
-        new = np.r_[True, (n[1:] != n[:-1]) | (e[1:] != e[:-1])] if len(n) else np.zeros(0, bool)
+            e = extra[order]
+            new[1:] |= e[1:] != e[:-1]
         start = np.flatnonzero(new)
         self.of = np.empty(len(n), np.int64)
         self.of[order] = np.cumsum(new) - 1
-        self.names, self.extra = n[start], e[start]
-        self.doc = np.searchsorted(block.offsets, np.flatnonzero(mask), "right") - 1
-        self.first = self.doc[order[start]]
+        self.names, self.extra = n[start], e[start] if more else None
+        self.doc = np.searchsorted(block.offsets, place, "right") - 1
+        # documents of a block are in order, so the first position is in the smallest
+        self.first = self.doc[np.minimum.reduceat(order, start)] if len(start) else start
+
+    @staticmethod
+    def _order(name: np.ndarray, extra: np.ndarray | None) -> np.ndarray:
+        """The order by name and by what there is beyond it."""
+        if len(name) >> 24:
+            return np.lexsort((name,) if extra is None else (extra, name))
+        # the upper bits of a name and the position as one number; what these bits confuse is put right afterwards
+        low = np.uint64((1 << 24) - 1)
+        key = (name & ~low) | np.arange(len(name), dtype=np.uint64)
+        key.sort()
+        order = (key & low).astype(np.int64)
+        key >>= np.uint64(24)
+        n = name[order]
+        same, differ = key[1:] == key[:-1], n[1:] != n[:-1]
+        if extra is not None:
+            e = extra[order]
+            differ |= e[1:] != e[:-1]
+        confused = same & differ
+        if confused.any():
+            group = np.cumsum(np.r_[True, ~same]) - 1
+            some = np.flatnonzero(np.isin(group, group[1:][confused]))
+            part = order[some]
+            order[some] = part[np.lexsort((name[part],) if extra is None else (extra[part], name[part]))]
+        return order
 
 
 def _squeeze(mask: np.ndarray) -> bytes:
@@ -257,26 +293,28 @@ def _left(block: Block, mask: np.ndarray, length: int, plan: Plan, bits: np.ndar
 
 def _send(origin: int, block: Block, mask: np.ndarray, k: int, plan: Plan) -> pd.DataFrame:
     """A row for each bucket of the names of a round, and the mask, which comes back with the answers."""
-    last = k == len(LENGTHS) - 1
-    rows = [(int(origin % (1 << plan.low)), origin, 0, None, None, None, _squeeze(mask))]
+    length, part, parts = ROUNDS[k]
+    last = length == LENGTH
+    rows = [(int(origin % (1 << plan.low)), origin, 0, None, None, None, None, None, _squeeze(mask))]
     if last:
-        w = Winners(block, mask, plan.more)
+        w = Winners(block, mask, plan.more, part, parts)
         names, ids = w.names, block.docs["doc"]
+        least = ids[w.first]
     else:
-        names, _ = distinct(plan.cut(named(block, mask, LENGTHS[k]), False))
+        names, _ = distinct(plan.cut(named(block, mask, length), False))
     edge = plan.split(names, last)
     for b, (s, e) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
         if s == e:
             continue
-        docs = used = None
+        more = flags = None
         part = names[s:e] - np.uint64(b << (plan.width(last) - plan.low))
         if last:
-            # a name and the bytes beyond it; the names may repeat
-            where, at = np.unique(w.first[s:e], return_inverse=True)
-            wide = np.uint16 if len(where) <= 1 << 16 else np.uint32
-            docs, used = at.astype(wide).tobytes() + np.ascontiguousarray(w.extra[s:e].view(np.uint8).reshape(-1, 8)[:, : plan.more]).tobytes(), ids[where].tobytes()
-        rows.append((b, origin, e - s, pack(part, plan.width(last) - plan.low), docs, used, None))
-    return pd.DataFrame(rows, columns=["bucket", "origin", "n", "names", "docs", "ids", "mask"])
+            # bytes beyond the names, which may repeat then; whether a name's smallest document is the block's first or last
+            more = np.ascontiguousarray(w.extra[s:e].view(np.uint8).reshape(-1, 8)[:, : plan.more]).tobytes() if plan.more else b""
+            flags = np.packbits(np.r_[least[s:e] == ids[0], least[s:e] == ids[-1]]).tobytes()
+        ends = (int(ids[0]), int(ids[-1])) if last else (None, None)
+        rows.append((b, origin, e - s, pack(part, plan.width(last) - plan.low), more, flags, *ends, None))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")]).astype({"first": "Int64", "last": "Int64"})
 
 
 def _first(plan: Plan):
@@ -302,7 +340,8 @@ def _next(k: int, plan: Plan):
     def step(mine: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         block = Block(*mine.iloc[0][["docs", "text", "raw"]])
         mask, bits = _answers(back, len(block.text))
-        return _send(int(mine["origin"].iloc[0]), block, _left(block, mask, LENGTHS[k - 1], plan, bits), k, plan)
+        before = ROUNDS[k - 1][0]
+        return _send(int(mine["origin"].iloc[0]), block, mask if before == ROUNDS[k][0] else _left(block, mask, before, plan, bits), k, plan)
 
     return step
 
@@ -311,8 +350,23 @@ def _bits(x: np.ndarray) -> bytes:
     return len(x).to_bytes(4, "little") + np.packbits(x).tobytes()
 
 
+def _several(names: np.ndarray, width: int) -> np.ndarray:
+    """Whether each name stands several times."""
+    if width > 32 or len(names) >> 32:
+        _, at, times = np.unique(names, return_inverse=True, return_counts=True)
+        return times[at] > 1
+    key = (names << np.uint64(32)) | np.arange(len(names), dtype=np.uint64)
+    key.sort()
+    name = key >> np.uint64(32)
+    same = name[1:] == name[:-1]
+    inside = np.r_[False, same] | np.r_[same, False]
+    out = np.zeros(len(names), bool)
+    out[(key[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+    return out
+
+
 def _compare(k: int, plan: Plan):
-    last = k == len(LENGTHS) - 1
+    last = ROUNDS[k][0] == LENGTH
     width = plan.width(last) - plan.low
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
@@ -320,34 +374,32 @@ def _compare(k: int, plan: Plan):
         masks = frame[frame["mask"].notna()]
         some = frame[frame["mask"].isna()]
         names = [unpack(x, n) for x, n in zip(some["names"], some["n"])]
-        if not last and width <= 28:
-            times = np.zeros(1 << width, np.uint8)
-            for x in names:
-                times[x] = np.minimum(times[x] + 1, 2)
-            bits = [times[x] > 1 for x in names]
+        ends = np.cumsum([len(x) for x in names])[:-1]
+        if not names:
+            bits = []
         elif not last:
-            every, several = distinct(np.concatenate(names)) if names else (None, None)
-            bits = [several[np.searchsorted(every, x)] for x in names]
-        elif names:
+            bits = np.split(_several(np.concatenate(names), width), ends)
+        else:
             ids, extra = [], []
-            for n, d, used in zip(some["n"], some["docs"], some["ids"]):
-                used = np.frombuffer(used, np.int64)
-                kind = np.dtype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-                ids.append(used[np.frombuffer(d, kind, n)])
+            for n, more, flags, first, final in zip(some["n"], some["more"], some["flags"], some["first"], some["last"]):
+                at_first, at_last = np.unpackbits(np.frombuffer(flags, np.uint8), count=2 * n).astype(bool).reshape(2, n)
+                # no other block has ids between
+                ids.append(np.where(at_first, int(first), np.where(at_last, int(final), int(first) + 1)))
                 wide = np.zeros((n, 8), np.uint8)
-                wide[:, : plan.more] = np.frombuffer(d, np.uint8, n * plan.more, n * kind.itemsize).reshape(n, plan.more)
+                wide[:, : plan.more] = np.frombuffer(more, np.uint8).reshape(n, plan.more)
                 extra.append(wide.view(np.uint64).ravel())
-            ends = np.cumsum([len(x) for x in names])[:-1]
             names, ids, extra = np.concatenate(names), np.concatenate(ids), np.concatenate(extra)
-            order = np.lexsort((ids, extra, names))
-            x, e, d = names[order], extra[order], ids[order]
+            order = np.argsort(names)
+            x, e = names[order], extra[order]
+            if ((x[1:] == x[:-1]) & (e[1:] != e[:-1])).any():
+                order = np.lexsort((extra, names))
+                x, e = names[order], extra[order]
             new = np.r_[True, (x[1:] != x[:-1]) | (e[1:] != e[:-1])]
-            least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
+            d = ids[order]
+            least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
             larger = np.zeros(len(names), bool)
             larger[order] = d > least
             bits = np.split(larger, ends)
-        else:
-            bits = []
         out = pd.DataFrame({"origin": some["origin"].to_numpy(), "bucket": some["bucket"].to_numpy(), "bits": [_bits(b) for b in bits], "mask": None})
         return pd.concat([out, pd.DataFrame({"origin": masks["origin"].to_numpy(), "bucket": masks["bucket"].to_numpy(), "bits": None, "mask": masks["mask"].to_numpy()})], ignore_index=True)
 
@@ -394,15 +446,24 @@ def _settle(plan: Plan):
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = rows.repartitionByRange("doc").sortWithinPartitions("doc")
     blocks = materialise(rows.mapInArrow(_blocks, BLOCKS), "blocks", "uncompressed")
-    plan = Plan(blocks.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0], 2 * shuffle_partitions(spark))
-    replies = None
-    for k in range(len(LENGTHS)):
+    plan = Plan(blocks.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0])
+    # answers that are still to be read
+    kept: list[DataFrame] = []
+    for k, (_, part, _) in enumerate(ROUNDS):
         if k == 0:
             sent = blocks.mapInPandas(_first(plan), SENT)
         else:
-            sent = blocks.groupBy("origin").cogroup(replies.groupBy("origin")).applyInPandas(_next(k, plan), SENT)
+            sent = blocks.groupBy("origin").cogroup(kept[-1].groupBy("origin")).applyInPandas(_next(k, plan), SENT)
         replies = materialise(sent.groupBy("bucket").applyInPandas(_compare(k, plan), BACK), "answers")
-    return blocks.groupBy("origin").cogroup(replies.groupBy("origin")).applyInPandas(_settle(plan), DONE)
+        if part == 0:
+            for done in kept:
+                discard(done)
+            kept = []
+        kept.append(replies)
+    back = kept[0]
+    for more in kept[1:]:
+        back = back.union(more)
+    return blocks.groupBy("origin").cogroup(back.groupBy("origin")).applyInPandas(_settle(plan), DONE)

@@ -241,6 +241,34 @@ def test_repeats_of_random_texts(spark, seed):
     assert got == brute.repeats(out)
 
 
+@pytest.mark.parametrize("block,bucket", [(300, 50), (1 << 20, 1 << 21)])
+def test_repeats_of_rows_that_share_an_id(spark, block, bucket, monkeypatch):
+    """Repeated rows, null ids and ids that go on in the next block are not smaller than one another; confused names are told apart."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_dedup, "MARGIN", 60)
+    a, b = prose(1, 40), prose(2, 60)
+    rows = [(None, a), (None, a), (None, b[:70]), (3, a), (3, a), (3, a + b), (3, a + a), (5, b), (5, b), (6, None), (7, ""), (8, "x" * 49), (9, "x" * 49), (10, "x" * 120), (11, a + " " + b)]
+    got = sorted(map(repr, ((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())))
+    # each row against one row of every smaller id's texts, null first
+    order = lambda d: -1 if d is None else d
+    expected = []
+    for d, t in rows:
+        smaller = [(i, u) for i, (e, u) in enumerate(rows) if order(e) < order(d)]
+        expected.append(repr((d, *brute.repeats([*smaller, (10**6, t)])[10**6])))
+    assert got == sorted(expected)
+
+
+def test_order_of_names_that_agree_in_their_upper_bits():
+    rng = np.random.default_rng(3)
+    name = rng.integers(0, 40, 3000).astype(np.uint64) + (rng.integers(0, 5, 3000).astype(np.uint64) << np.uint64(40))
+    extra = rng.integers(0, 3, 3000).astype(np.uint64)
+    for e in (None, extra):
+        order = suffix_dedup.Winners._order(name, e)
+        got = list(zip(name[order], e[order])) if e is not None else list(name[order])
+        assert got == sorted(got) and sorted(order) == list(range(3000))
+
+
 def test_lm_scores(spark, docs, rows, none):
     targets = spark.createDataFrame([(i,) for i in (0, 3, 8, 20, 24, 63, None)], "doc_id long")
     got = by_id(lm_scoring.lm_scores(docs, targets, 12), "n_tokens", "target_loss", "background_loss", "score")
@@ -285,7 +313,7 @@ def test_quality(spark, sf_dir, docs, none):
     assert [r["score"] for r in quality.quality(read(spark, sf_dir, "documents").withColumn("source", F.lit("z")), flipped).orderBy("doc_id").collect()] == [r["score"] for r in sorted(rows, key=lambda r: r["doc_id"])]
     one_class = labels.where("quality = 1")
     assert {r["score"] for r in quality.quality(docs, one_class).collect()} == {1.0} and quality.quality(none, labels).collect() == []
-    model = quality.train(quality.feature_table(read(spark, sf_dir, "documents")), labels)
+    model = quality.train(read(spark, sf_dir, "documents"), labels)
     kept = {r["doc_id"] for r in quality.keep_good(read(spark, sf_dir, "documents").withColumn("kept", F.lit(0)), model).collect()}
     assert kept == {r["doc_id"] for r in rows if r["predicted"]}
     assert quality.keep_good(docs, model).columns == ["doc_id", "text", "lang", "source", "n_chars"]
@@ -299,6 +327,45 @@ def test_bradley_terry_orders_by_the_feature_that_matters():
     assert model.weights.argmax() == 3 and ((model.score(x) >= 0.7) == y).mean() > 0.95
 
 
+def area(score, y):
+    """Area under the curve: how often a good row is above a bad one."""
+    above = score[y == 1][:, None] - score[y == 0][None]
+    return ((above > 0) + 0.5 * (above == 0)).mean()
+
+
+def test_quality_knows_what_is_said(spark):
+    """Texts written alike, that differ by their words alone."""
+    rng = np.random.default_rng(1)
+    good, bad = ([" ".join(p) for p in rng.choice(list("bdfglmnprst"), (300, 6))] for _ in range(2))
+    good, bad = ([w.replace(" ", "a") for w in words] for words in (good, bad))
+    rows, labels = [], []
+    for i in range(900):
+        y = int(rng.random() < 0.6)
+        mine, other = (good, bad) if y else (bad, good)
+        ws = [str(rng.choice(mine if rng.random() < 0.7 else other)) for _ in range(int(rng.integers(30, 90)))]
+        rows.append((i, " ".join(ws)))
+        labels.append((i, y))
+    scored = quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    held = [r for r in scored if r["held_out"]]
+    y, score = np.array([dict(labels)[r["doc_id"]] for r in held]), np.array([r["score"] for r in held])
+    assert area(score, y) > 0.9 and ((score >= 0.7) == y).mean() > 0.8
+
+
+def test_fitted_weights_are_a_minimum():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, quality.N_FEATURES))
+    y = (x[:, 5] - x[:, 60] + rng.normal(size=150) > 0).astype(int)
+    m = quality.BradleyTerry.fit(x, y, pairs=3000)
+    pick = np.random.default_rng(0)
+    z = (x - m.mean) / m.scale
+    d = z[pick.choice(np.flatnonzero(y == 1), 3000)] - z[pick.choice(np.flatnonzero(y == 0), 3000)]
+    ridge = np.where(np.arange(x.shape[1]) < quality.N_RATES, quality.RIDGE, quality.CELL_RIDGE)
+    loss = lambda w: np.logaddexp(0, -(d @ w)).mean() + (ridge * w * w).sum() / 2
+    assert all(loss(m.weights) <= loss(m.weights + step) + 1e-9 for step in 0.05 * rng.normal(size=(50, len(m.weights))))
+    # the cut is the quantile of the share labelled 0
+    assert (m.strength(x) < m.cut).sum() == (y == 0).sum()
+
+
 def test_html_template(spark, sf_dir):
     import html
     import re
