@@ -2,13 +2,16 @@
 
 A page is cut into leaf blocks in page order.  Each block is a vector: hashed tags,
 classes and ids of its path, hashed words of its whole text, and a few measures.
+Only names and words that several training pages have count (cookie, sidebar, reply);
+names that a site makes up and the words of its prose say nothing.
 A bidirectional LSTM, plain numpy, reads the sequence of all blocks of the page and
 labels every block; blocks labelled as article are joined.  Pages are labelled
 where they are read, many of them side by side, so nothing is shuffled.
 
-The model is trained here, on the driver, from pages that a seeded generator makes
-in many layouts with known labels (TRAIN_PAGES of them); no page of the input is
-used for training.
+The model is trained from pages that a seeded generator makes in many layouts and
+made-up languages with known labels (TRAIN_PAGES of them); no page and no word of the
+input is used for training.  The weights that running this module writes are kept
+beside it.
 
 Defined results: a null or empty page has an empty text; markup may be broken or
 cut off; rows that repeat are treated alike; an empty table gives an empty result.
@@ -17,6 +20,8 @@ cut off; rows that repeat are treated alike; an empty table gives an empty resul
 from __future__ import annotations
 
 import functools
+import os
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +36,9 @@ from .words import LOWER, prefix_hash, slice_hash, words
 LABELS = ("article", "menu", "header", "footer", "sidebar", "notice", "advert", "form", "comment", "title")
 PATH, WORDS, MEASURES = 128, 48, 8
 WIDTH = PATH + WORDS + MEASURES
-HIDDEN, TRAIN_PAGES, EPOCHS, SEED = 20, 900, 14, 7
+HIDDEN, TRAIN_PAGES, EPOCHS, SEED = 24, 2500, 12, 7
+#: Training pages that must have a name or word for it to count.
+PAGES_OF_NAME, PAGES_OF_WORD = 12, 60
 #: Pages labelled side by side; steps times pages at most at once.
 SIDE, STEPS = 128, 1 << 15
 
@@ -45,11 +52,13 @@ def _slot(word: str, size: int) -> tuple[int, float]:
 
 
 @functools.lru_cache(4096)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed words of the path; the innermost element counts in slots of its own as well."""
+def path_vector(path: tuple[str, ...], known: frozenset) -> np.ndarray:
+    """Hashed words of the path that are known; the innermost element counts in slots of its own as well."""
     out = np.zeros(PATH, np.float32)
     for depth, element in enumerate(path):
         for word in element.split():
+            if word not in known:
+                continue
             at, sign = _slot(word, PATH)
             out[at] += sign
             if depth == len(path) - 1:
@@ -58,7 +67,23 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return np.clip(out, -2, 2)
 
 
-def vectors(found: list[Block]) -> np.ndarray:
+class Known:
+    """Names of paths and words of texts that count."""
+
+    def __init__(self, names=(), words=()):
+        self.names, self.words = frozenset(names), sorted(words)
+        raw = [w.encode() for w in self.words]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([0, *map(len, raw)])
+        self.hashes = np.sort(slice_hash(prefix_hash(data), ends[:-1], ends[1:]))
+
+    def says(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(h), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h
+
+
+def vectors(found: list[Block], known: Known) -> np.ndarray:
     """One row of WIDTH per block."""
     out = np.zeros((len(found), WIDTH), np.float32)
     if not found:
@@ -68,18 +93,18 @@ def vectors(found: list[Block]) -> np.ndarray:
     data = np.frombuffer(b"".join(texts), np.uint8)
     starts, ends, of = words(data, offsets)
     h = slice_hash(prefix_hash(LOWER[data]), starts, ends)
-    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0) * known.says(h)
     bag = np.bincount(of * WORDS + (h % np.uint64(WORDS)).astype(np.int64), sign, len(found) * WORDS).reshape(-1, WORDS)
     per = np.bincount(of, minlength=len(found))
-    out[:, PATH : PATH + WORDS] = bag / np.maximum(np.sqrt((bag**2).sum(1, keepdims=True)), 1)
+    out[:, PATH : PATH + WORDS] = 2 * bag / np.maximum(per, 1)[:, None]
     stops = np.bincount(of, np.isin(data[ends - 1], list(b".!?")), len(found))
     commas = np.bincount(of, np.isin(data[ends - 1], list(b",;:")), len(found))
     linked = np.array([b.linked for b in found])
-    depth = np.array([len(b.path) for b in found])
+    depth = np.array([sum(not e.startswith(("html", "body")) for e in b.path) for b in found])
     place = np.arange(len(found)) / max(1, len(found) - 1)
-    out[:, -MEASURES:] = np.column_stack([np.log1p(per) / 3, np.minimum(stops, 10) / 5, stops / np.maximum(per, 1), commas / np.maximum(per, 1), linked, depth / 8, place, np.diff(offsets) / np.maximum(per, 1) / 10])
+    out[:, -MEASURES:] = np.column_stack([np.log1p(np.minimum(per, 100)) / 3, np.minimum(stops, 10) / 5, stops / np.maximum(per, 1), commas / np.maximum(per, 1), linked, depth / 8, place, np.clip(np.diff(offsets) / np.maximum(per, 1) / 10, 0.4, 5)])
     for i, b in enumerate(found):
-        out[i, :PATH] = path_vector(b.path)
+        out[i, :PATH] = path_vector(b.path, known.names)
     return out
 
 
@@ -156,8 +181,8 @@ def _pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Labeller:
-    def __init__(self, ahead: np.ndarray, back: np.ndarray, out: np.ndarray):
-        self.ahead, self.back, self.out = Lstm(ahead), Lstm(back), out
+    def __init__(self, ahead: np.ndarray, back: np.ndarray, out: np.ndarray, known: Known | None = None):
+        self.ahead, self.back, self.out, self.known = Lstm(ahead), Lstm(back), out, known or Known()
 
     def _states(self, pages: list[np.ndarray], keep: bool = False):
         x, xb, mask = _pad(pages)
@@ -223,21 +248,39 @@ class Labeller:
         return model
 
 
+#: The trained weights; python -m sparquarry.llm.html_extract makes them anew.
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_weights.npz")
+
+
 @functools.lru_cache(1)
 def trained() -> Labeller:
-    """The model, trained once per process from generated pages."""
+    """The model of the weights' file; trained where there is none."""
+    if not os.path.exists(WEIGHTS):
+        return train_anew()
+    with np.load(WEIGHTS) as stored:
+        return Labeller(stored["ahead"].astype(np.float32), stored["back"].astype(np.float32), stored["out"].astype(np.float32), Known(str(stored["names"]).split(), str(stored["words"]).split()))
+
+
+def train_anew() -> Labeller:
+    """The model trained from generated pages."""
     from .html_pages import generate, unmark
 
-    pages, labels = [], []
+    pages, labels, has, says = [], [], Counter(), Counter()
     for page in generate(TRAIN_PAGES, SEED):
         found, y = [], []
         for b in blocks(page):
             label, text = unmark(b.text)
             y.append(label)
             found.append(Block(text, b.path, b.linked))
-        pages.append(vectors(found))
-        labels.append(np.array(y))
-    return Labeller.train(pages, labels)
+        pages.append(found)
+        labels.append(np.array(y, np.int64))
+        has.update({word for b in found for element in b.path for word in element.split()})
+        says.update({word.lower() for b in found for word in b.text.split() if word.isascii()})
+    known = Known([name for name, n in has.items() if n >= PAGES_OF_NAME and name not in ("html", "body")], [word for word, n in says.items() if n >= PAGES_OF_WORD])
+    some = [i for i, found in enumerate(pages) if found]
+    model = Labeller.train([vectors(pages[i], known) for i in some], [labels[i] for i in some])
+    model.known = known
+    return model
 
 
 def article(page: str | None, model: Labeller | None = None) -> str:
@@ -247,7 +290,7 @@ def article(page: str | None, model: Labeller | None = None) -> str:
 
 def articles(pages: list[str], model: Labeller) -> list[str]:
     found = [blocks(p) for p in pages]
-    flat = vectors([b for page in found for b in page])
+    flat = vectors([b for page in found for b in page], model.known)
     ends = np.cumsum([0, *map(len, found)])
     rows = []
     for page, a, b in zip(found, ends, ends[1:]):
@@ -260,7 +303,7 @@ def articles(pages: list[str], model: Labeller) -> list[str]:
     return ["\n\n".join(b.text for b, y in zip(page, labels) if y == 0) for page, labels in zip(found, model.label(rows))]
 
 
-def _extract(weights: tuple[np.ndarray, np.ndarray, np.ndarray]):
+def _extract(weights: tuple):
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Labeller(*weights)
         for batch in batches:
@@ -282,4 +325,9 @@ def extract(pages: DataFrame) -> DataFrame:
     model = trained()
     kinds = dict(pages.dtypes)
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    return rows.mapInArrow(_extract((model.ahead.w, model.back.w, model.out)), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return rows.mapInArrow(_extract((model.ahead.w, model.back.w, model.out, model.known)), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    m = train_anew()
+    np.savez_compressed(WEIGHTS, ahead=m.ahead.w.astype(np.float16), back=m.back.w.astype(np.float16), out=m.out.astype(np.float16), names=" ".join(sorted(m.known.names)), words=" ".join(m.known.words))

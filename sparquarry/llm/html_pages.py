@@ -11,9 +11,8 @@ import numpy as np
 
 ARTICLE, MENU, HEADER, FOOTER, SIDEBAR, NOTICE, ADVERT, FORM, COMMENT, TITLE = range(10)
 
-SYLLABLES = ("th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve que les eau ment tion oi ch sch ung heit keit ver ber "
-             "ein lich ción mente ado os as ez rr ll ña ó í ä ö ü ß é è ç a i o").split()
-COMMON = "the of and to in is that for it with de la le les et en un une der die und das ist el los que y".split()
+#: Letters of made-up languages: consonants and vowels of some scripts.
+SCRIPTS = [("bcdfghjklmnpqrstvwxyz", "aeiou"), ("bdfgklmnprstvz", "aeiouyàèéêôùäöüåøãõ"), ("бвгджзклмнпрстфхцчш", "аеиоуыэюя"), ("βγδζθκλμνξπρστφχψ", "αεηιοωυ"), ("漢字文語読書人大小中国日本", "的是了在有我他这")]
 SAID = {
     MENU: "home about contact news sport archive products login menu search next previous sitemap".split(),
     HEADER: "welcome menu daily site tagline subscribe sign in".split(),
@@ -26,6 +25,8 @@ SAID = {
 }
 
 
+CUES = sorted({w for ws in SAID.values() for w in ws})
+
 #: The private-use character of label 0.
 FIRST_MARK = 0xE000
 
@@ -38,6 +39,17 @@ def unmark(text: str) -> tuple[int, str]:
 class Maker:
     def __init__(self, rng: np.random.Generator):
         self.rng = rng
+        self.speak()
+
+    def speak(self) -> None:
+        """A language for a page: letters, syllables, and a few short words that return all the time."""
+        consonants, vowels = SCRIPTS[int(min(self.rng.geometric(0.45) - 1, len(SCRIPTS) - 1))]
+        pick = lambda xs, n: [xs[i] for i in self.rng.integers(len(xs), size=n)]
+        self.bare = False
+        self.worldly = self.chance(0.5)
+        self.dense = consonants[0] == "漢"  # written without spaces
+        self.syllables = [c + v + e for c, v, e in zip(pick(consonants, 60), pick(vowels, 60), pick(["", "", *consonants], 60))]
+        self.common = [a + b for a, b in zip(pick(self.syllables, 14), pick(["", "", *vowels], 14))]
 
     def pick(self, *options):
         return options[int(self.rng.integers(len(options)))]
@@ -46,23 +58,24 @@ class Maker:
         return bool(self.rng.random() < p)
 
     def word(self) -> str:
+        if self.worldly and self.chance(0.12):  # the words of menus and footers also stand in prose
+            return self.pick(*CUES)
         if self.chance(0.35):
-            return self.pick(*COMMON)
-        return "".join(SYLLABLES[i] for i in self.rng.integers(len(SYLLABLES), size=int(self.rng.integers(1, 5))))
+            return self.common[int(self.rng.integers(len(self.common)))]
+        return "".join(self.syllables[i] for i in self.rng.integers(len(self.syllables), size=int(self.rng.integers(1, 5))))
 
     def sentence(self, least: int = 1, most: int = 25) -> str:
         ws = [self.word() for _ in range(int(self.rng.integers(least, most + 1)))]
         ws = [w + "," if self.chance(0.06) else w for w in ws]
-        style = self.rng.random()
-        if style < 0.08:
-            ws = [w + self.pick("***", "$$$", "%%%", "###", "&amp;&amp;&amp;") for w in ws]
-        elif style < 0.12:
-            ws = [w.upper() + "!!" for w in ws]
-        elif style < 0.16:
-            ws = [x for w in ws for x in (w, "|")]
-        elif style < 0.2:
-            ws = [w for w in ws[:6] for _ in range(int(self.rng.integers(3, 20)))]
-        return " ".join(ws).capitalize() + "."
+        if self.chance(0.05):
+            ws = [w.upper() for w in ws]
+        if self.chance(0.06):  # numbers, prices, marks
+            ws[int(self.rng.integers(len(ws)))] = self.pick("12", "3.5%", "$40", "1998", "(a)", "&amp;", "&mdash;", "x = 2", "https://a.example/b", "|", "***")
+        if self.chance(0.05):  # words said over and over
+            ws = [w for w in ws[: int(self.rng.integers(1, 7))] for _ in range(int(self.rng.integers(3, 60)))]
+        if self.dense:
+            return "".join(ws).replace(",", "，") + self.pick("。", "。", "")
+        return " ".join(ws).capitalize() + self.pick(".", ".", ".", ".", "!", "?", "", ":")
 
     def prose(self, sentences: int) -> str:
         return " ".join(self.sentence() for _ in range(max(1, sentences)))
@@ -83,6 +96,22 @@ class Maker:
             return ""
         return f' {self.pick("class", "class", "id")}="{self.pick(*options)}"'
 
+    def token(self) -> str:
+        """A class that says nothing."""
+        letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+        made = "".join(letters[i] for i in self.rng.integers(len(letters), size=int(self.rng.integers(2, 8))))
+        return self.pick("x", "css-", "sc-", "b", "col-md-", "l-", "u-", "js-", "") + made
+
+    def plain(self) -> str:
+        """Attributes that say nothing, or none."""
+        return self.pick("", f' class="{self.token()}"', f" class={self.token()}", f' class="{self.token()} {self.token()}"', f' id="{self.token()}"', f' style="margin:0" data-x="{self.token()}"')
+
+    def wrap(self, inner: str, most: int = 3) -> str:
+        for _ in range(int(self.rng.integers(0, most + 1))):
+            kind = self.pick("", "container", "wrapper", "row", "inner", "site", "page", "layout", "grid", "col", "section")
+            inner = f"<div{self.plain() if self.chance(0.5) or not kind else f' class={chr(34)}{kind} {self.token()}{chr(34)}'}>{inner}</div>"
+        return inner
+
     def links(self, label: int, n: int) -> str:
         item = lambda: f'<a href="/{self.word()}">{self.mark(label, self.say(label, int(self.rng.integers(1, 4))))}</a>'
         style = self.pick("ul", "ul", "div", "p")
@@ -115,7 +144,7 @@ class Maker:
         inner = f"<{(t := self.pick('h2', 'h3', 'h4'))}>{self.mark(SIDEBAR, self.say(SIDEBAR, 2))}</{t}>" + (self.links(SIDEBAR, int(self.rng.integers(1, 7))) if self.chance(0.7) else f"<p>{self.mark(SIDEBAR, self.say(SIDEBAR, int(self.rng.integers(5, 30))))}</p>")
         if self.chance(0.6):
             return f"<aside{self.attr('sidebar', 'related', 'widget') if self.chance(0.6) else ''}>{inner}</aside>"
-        return f"<div class=\"{self.pick('sidebar', 'related', 'related-posts', 'widget', 'side', 'rail', 'share', 'social-share', 'tags', 'author-bio', 'recommended')}\">{inner}</div>"
+        return f"<div class=\"{self.pick('sidebar', 'related', 'related-posts', 'widget', 'widget-area secondary', 'side', 'rail', 'share', 'social-share', 'tags', 'author-bio', 'recommended', 'read-more', 'most-read', 'infobox', 'navbox')}\">{inner}</div>"
 
     def notice(self) -> str:
         inner = self.mark(NOTICE, self.say(NOTICE, int(self.rng.integers(4, 30))))
@@ -153,54 +182,94 @@ class Maker:
             text = " ".join(ws)
         text = self.mark(ARTICLE, text)
         style = self.rng.random()
-        if style < 0.68:
-            return f"<p>{text}</p>"
-        if style < 0.78:
-            return f"<p><b>{text}<br>"
-        if style < 0.82:
+        if self.chance(0.5 if self.bare else 0.08):  # prose without stops
+            text = text[0] + "".join(c for c in text[1:] if c not in ".,!?;:")
+        if self.loose:  # paragraphs as elements without meaning, or runs between line breaks
+            return f"<div{self.plain()}>{text}</div>"
+        if style < 0.62:
+            return f"<p{self.plain() if self.chance(0.15) else ''}>{text}</p>"
+        if style < 0.66:
             return f"<p>{text}"
-        if style < 0.86:
-            return f"<blockquote><p>{text}</p></blockquote>"
-        if style < 0.91:
-            return f"<h{(d := self.pick(2, 3))}>{self.mark(ARTICLE, self.sentence(1, 8))}</h{d}><p>{text}</p>"
-        if style < 0.96:
+        if style < 0.70:
+            return self.pick(f"<blockquote><p>{text}</p></blockquote>", f"<blockquote>{text}</blockquote>", f"<div{self.plain()}><p>{text}</p></div>", f"<section{self.plain()}><p>{text}</p></section>")
+        if style < 0.80:
+            return f"<h{(d := self.pick(2, 2, 3, 4))}{self.plain() if self.chance(0.2) else ''}>{self.mark(ARTICLE, self.sentence(1, 8).rstrip('.'))}</h{d}><p>{text}</p>"
+        if style < 0.88:
             t = self.pick("ul", "ol")
-            return f"<{t}>" + "".join(f"<li>{self.mark(ARTICLE, self.sentence(1, 14))}</li>" for _ in range(int(self.rng.integers(1, 5)))) + f"</{t}>"
+            return f"<{t}{self.plain() if self.chance(0.2) else ''}>" + "".join(f"<li>{self.mark(ARTICLE, self.sentence(1, 14))}{self.nested(t)}</li>" for _ in range(int(self.rng.integers(1, 6)))) + f"</{t}>"
+        if style < 0.93:
+            return f"<table{self.plain()}>" + "".join(f"<tr><td>{self.mark(ARTICLE, self.sentence(1, 4))}<td>{self.mark(ARTICLE, self.word())}</tr>" for _ in range(int(self.rng.integers(1, 5)))) + "</table>"
+        if style < 0.96:
+            return f"<figure{self.plain()}><img src=x>" + f"<figcaption>{self.mark(ARTICLE, self.sentence(2, 14))}</figcaption></figure><p>{text}</p>"
         if style < 0.98:
-            return "<table>" + "".join(f"<tr><td>{self.mark(ARTICLE, self.sentence(1, 4))}<td>{self.mark(ARTICLE, self.word())}</tr>" for _ in range(int(self.rng.integers(1, 4)))) + "</table>"
-        return f"<pre>{text}</pre>"
+            return "<dl>" + "".join(f"<dt>{self.mark(ARTICLE, self.word())}</dt><dd>{self.mark(ARTICLE, self.sentence(2, 12))}</dd>" for _ in range(int(self.rng.integers(1, 4)))) + "</dl>"
+        return self.pick(f"<pre>{text}</pre>", f"<pre><code>{text}</code></pre>")
+
+    def nested(self, t: str) -> str:
+        if not self.chance(0.08):
+            return ""
+        return f"<{t}>" + "".join(f"<li>{self.mark(ARTICLE, self.sentence(1, 8))}</li>" for _ in range(int(self.rng.integers(1, 4)))) + f"</{t}>"
+
+    def contents(self) -> str:
+        """A page's own list of contents."""
+        head = f"<{(t := self.pick('h2', 'p', 'div', 'span'))}>{self.mark(MENU, self.pick('Contents', 'Table of contents', 'On this page', 'In this article', self.word()))}</{t}>"
+        items = "".join(f"<li><a href='#{self.token()}'>{self.mark(MENU, self.pick('', '1 ', '2.1 ') + self.sentence(1, 4).rstrip('.'))}</a></li>" for _ in range(int(self.rng.integers(1, 7))))
+        return f"<{(t := self.pick('div', 'nav', 'div'))} {self.pick('class', 'id')}=\"{self.pick('toc', 'table-of-contents', 'toc contents', 'contents', 'on-this-page')}\">{head}<ul>{items}</ul></{t}>"
+
+    def meta(self) -> str:
+        """Who wrote it, labels, ways to share: no part of the text."""
+        kind = self.pick("entry-meta", "post-meta", "byline meta", "tags-links", "share-buttons", "social share", "post-tags", "author-box", "entry-footer", "breadcrumbs")
+        label = MENU if kind == "breadcrumbs" else SIDEBAR
+        return f"<{(t := self.pick('div', 'p', 'ul', 'footer' if 'footer' in kind else 'div'))} class=\"{kind}\">" + "".join(f"<{(u := 'li' if t == 'ul' else 'span')}>{self.pick('', '<a href=/x>')}{self.mark(label, self.say(label, int(self.rng.integers(1, 4))))}</{u}>" for _ in range(int(self.rng.integers(1, 4)))) + f"</{t}>"
 
     def article(self) -> str:
-        title = f"<h1>{self.mark(ARTICLE, self.sentence(1, 12))}</h1>" if self.chance(0.85) else ""
-        title = f"<header>{title}</header>" if title and self.chance(0.08) else title
-        parts = [self.paragraph() for _ in range(int(self.rng.integers(1, 16)) if self.chance(0.9) else 0)]
+        self.loose = self.chance(0.15)
+        title = self.mark(ARTICLE, self.sentence(1, 12).rstrip("."))
+        title = self.pick(f"<h1>{title}</h1>", f"<h1>{title}</h1>", f'<h1 class="{self.pick("entry-title", "post-title", "title", "headline", "page-title", "firstHeading")}">{title}</h1>', f'<h1 itemprop="headline"{self.plain()}>{title}</h1>', f"<h2>{title}</h2>") if self.chance(0.88) else ""
+        if title and self.chance(0.3):
+            kind = self.pick(' class="entry-header"', ' class="post-header"', ' class="article-header"', "", ' class="page-header"')
+            title = f"<header{kind}>{title}{self.meta() if self.chance(0.4) else ''}</header>"
+        elif self.chance(0.2):
+            title += self.meta()
+        parts = [self.paragraph() for _ in range(int(self.rng.integers(1, 16)) if self.chance(0.95) else 0)]
+        if self.chance(0.12):
+            parts.insert(min(len(parts), self.pick(0, 1)), self.contents())
         for extra, p in ((self.advert, 0.18), (self.sidebar, 0.12), (self.notice, 0.06), (self.form, 0.06)):
             if self.chance(p):
                 parts.insert(int(self.rng.integers(len(parts) + 1)), extra())
-        if self.chance(0.15):
-            parts.append(self.comments())
-        inner = title + "".join(parts)
+        body = "".join(parts)
         style = self.rng.random()
-        if style < 0.5:
-            return f"<article{self.attr('post', 'entry', 'story') if self.chance(0.3) else ''}>{inner}</article>"
-        if style < 0.62:
-            return f"<main>{inner}</main>"
-        if style < 0.72:
-            return f"<main><article>{inner}</article></main>"
-        if style < 0.95:
-            kind = self.pick("content", "main", "post", "article", "article-body", "entry-content", "post-content", "story", "text", "main-content", "body-text")
-            return f'<div {self.pick("class", "id")}="{kind}">{inner}</div>'
-        return f"<div><div>{inner}</div></div>"
+        named = self.pick("content", "main", "post", "article", "article-body", "entry-content", "post-content", "story-body", "text", "main-content", "body-text", "post-body entry", "markdown-body", "mw-parser-output", "content-area")
+        if self.chance(0.45):
+            body = self.wrap(f'<div {self.pick("class", "class", "id")}="{named}{self.pick("", " " + self.token())}">{body}</div>', 1)
+        tail = (self.meta() if self.chance(0.2) else "") + (self.comments() if self.chance(0.12) else "")
+        inner = title + body + tail
+        if style < 0.35:
+            kinds = self.pick("", "", ' class="post"', ' class="entry story"', f' id="post-{self.rng.integers(1000)}" class="post type-post status-publish format-standard hentry category-{self.token()}"', self.plain())
+            inner = f"<article{kinds}>{inner}</article>"
+            return self.wrap(f"<main{self.pick('', self.plain(), ' id=main class=site-main role=main')}>{inner}</main>" if self.chance(0.4) else inner)
+        if style < 0.50:
+            return self.wrap(f"<main{self.pick('', '', ' role=main', self.plain())}>{inner}</main>")
+        if style < 0.75:
+            return self.wrap(f'<{(t := self.pick("div", "div", "section"))} {self.pick("class", "id")}="{named}">{inner}</{t}>')
+        return self.wrap(f"<div{self.plain()}>{inner}</div>", 4) if self.chance(0.8) else inner
 
     def page(self) -> str:
-        before = [p() for p, c in ((self.notice, 0.15), (self.header, 0.4), (self.menu, 0.7), (self.advert, 0.5), (self.form, 0.15), (self.sidebar, 0.15)) if self.chance(c)]
+        self.speak()
+        self.bare = self.chance(0.1)
+        before = [p() for p, c in ((self.notice, 0.15), (self.header, 0.45), (self.menu, 0.7), (self.advert, 0.35), (self.form, 0.15), (self.sidebar, 0.15)) if self.chance(c)]
         after = [p() for p, c in ((self.advert, 0.2), (self.comments, 0.35), (self.sidebar, 0.35), (self.form, 0.15), (self.menu, 0.1), (self.footer, 0.8), (self.notice, 0.12)) if self.chance(c)]
+        if self.bare:
+            before, after = [], []
         if self.chance(0.3):
             before = [before[i] for i in self.rng.permutation(len(before))]
-        body = "".join(before) + self.article() + "".join(after)
-        if self.chance(0.3):
-            body = f"<div class=\"{self.pick('container', 'wrapper', 'page', 'site')}\">{body}</div>"
-        page = f"<!DOCTYPE html><html><head><title>x</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
+        if self.chance(0.1):  # columns of a table
+            cell = lambda x: f"<td{self.pick('', ' valign=top', ' width=160', self.plain())}>{x}</td>"
+            body = "".join(before[:-1]) + f"<table{self.pick('', ' width=100%', ' border=0 cellpadding=4')}><tr>{cell(before[-1]) if before else ''}{cell(self.article())}{cell(after[0]) if len(after) > 1 else ''}</tr></table>" + "".join(after[1:] if len(after) > 1 else after)
+        else:
+            body = "".join(before) + self.article() + "".join(after)
+        body = self.wrap(body)
+        page = f"<!DOCTYPE html><html><head><title>x</title><style>p{{}}</style><script>var t='</p>';</script></head><body{self.pick('', '', self.plain(), ' class=' + chr(34) + 'home page-template single' + chr(34))}>{body}</body></html>"
         return page[: int(len(page) * self.rng.uniform(0.6, 1))] if self.chance(0.12) else page
 
 
