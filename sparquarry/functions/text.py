@@ -76,10 +76,10 @@ class Analyzer:
             stop = F.array(*[F.lit(w) for w in self.stopwords])
             out = F.filter(out, lambda t: ~F.array_contains(stop, t))
         if self.min_length or self.max_length:
-            out = F.filter(out, lambda t: self._fits(F.char_length(t)))
+            out = F.filter(out, lambda t: self.fits(F.char_length(t)))
         return F.filter(out, lambda t: t != "")
 
-    def _fits(self, n: Column) -> Column:
+    def fits(self, n: Column) -> Column:
         low = n >= self.min_length
         return low & (n <= self.max_length) if self.max_length else low
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 import dataclasses
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import Analyzer
+from ..functions.text import Analyzer, normalise, stem_column
+
+
+#: Given terms that are written into a filter at most.
+GIVEN = 10_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -32,12 +36,41 @@ class TextIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, analyzer: Analyzer, frame_id: str = "frame_id", text: str = "text", tombstones: DataFrame | None = None) -> TextIndex:
-        """One pass over texts; terms are counted within each frame with map-side combine."""
+        """One pass over texts; terms are counted within each frame with map-side combine.  Stems are made of distinct terms."""
+        if analyzer.stemmer and not analyzer.fold_accents:
+            return cls._stemmed(docs, analyzer, F.col(frame_id), F.col(text), tombstones)
         tokens = docs.select(F.col(frame_id).alias("frame_id"), analyzer.tokens(F.col(text)).alias("tokens"))
         postings = tokens.select("frame_id", F.explode("tokens").alias("term")).groupBy("term", "frame_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         stats = tokens.select("frame_id", F.size("tokens").alias("total_terms"), F.size(F.array_distinct("tokens")).alias("unique_terms"))
         return cls(postings, stats, analyzer, tombstones)
 
+    @classmethod
+    def _stemmed(cls, docs: DataFrame, analyzer: Analyzer, frame_id: Column, text: Column, tombstones: DataFrame | None) -> TextIndex:
+        plain = dataclasses.replace(analyzer, form=None, stemmer=None, min_length=0, max_length=0)
+        tokens = docs.select(frame_id.alias("frame_id"), plain.tokens(normalise(text, analyzer.form) if analyzer.form else text).alias("tokens"))
+        words = tokens.select("frame_id", F.explode("tokens").alias("word")).groupBy("word", "frame_id").agg(F.count(F.lit(1)).alias("n"))
+        stems = words.select("word").distinct().withColumn("term", stem_column(F.col("word"))).where((F.col("term") != "") & analyzer.fits(F.char_length("term")))
+        postings = words.join(stems, "word").groupBy("term", "frame_id").agg(F.sum("n").cast("int").alias("tf"))
+        sizes = postings.groupBy("frame_id").agg(F.sum("tf").cast("int").alias("total_terms"), F.count(F.lit(1)).cast("int").alias("unique_terms"))
+        stats = docs.select(frame_id.alias("frame_id")).join(sizes, "frame_id", "left").fillna(0, ["total_terms", "unique_terms"])
+        return cls(postings, stats, analyzer, tombstones)
+
+    def write(self, path: str) -> None:
+        """Postings in ranges of terms, sorted, so that a filter on terms reads few row groups; statistics beside them."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "frame_id").write.parquet(f"{path}/postings")
+        self.doc_stats.write.parquet(f"{path}/doc_stats")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, analyzer: Analyzer, tombstones: DataFrame | None = None) -> TextIndex:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"), analyzer, tombstones)
+
+    def of_terms(self, terms: DataFrame) -> DataFrame:
+        """The postings of the terms of a table; by a filter at the scan where the terms are given ones."""
+        words = getattr(terms, "given", None)
+        if words is not None and len(words) <= GIVEN:
+            return self.postings.where(F.col("term").isin(words)) if words else self.postings.limit(0)
+        return self.postings.join(terms.select("term").distinct(), "term", "left_semi")
+
     def with_tombstones(self, tombstones: DataFrame) -> TextIndex:
         return TextIndex(self.postings, self.doc_stats, self.analyzer, tombstones)
 

@@ -2,8 +2,9 @@
 
 Every scorer takes queries as {query id: text or tokens} and scores all of them in
 one plan: query terms meet postings in one join and scores add up per (query,
-frame) with map-side combine.  Given terms are a local table of known size, so
-Catalyst broadcasts them below its threshold and shuffles them above it.
+frame) with map-side combine.  Given terms are a filter at the scan of postings and
+a local table in the join; terms of queries that are rows themselves are joined.
+Frames rank by their exact scores; digits rounds them first where a caller asks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from .index import TextIndex
 
 BM25_DEFAULT_TOP, POOL = 1024, 4
 RAW, LOG = "raw", "log"
-DIGITS = 6
 
 
 @dataclasses.dataclass(frozen=True)
@@ -58,7 +58,9 @@ def query_terms(index: TextIndex, queries: dict) -> DataFrame:
     for qid, q in queries.items():
         counts = Counter(index.analyzer.analyze(q) if isinstance(q, str) else q)
         rows += [(int(qid), t, n) for t, n in counts.items()]
-    return spark.createDataFrame(rows, "query_id long, term string, qf int")
+    out = spark.createDataFrame(rows, "query_id long, term string, qf int")
+    out.given = sorted({t for _, t, _ in rows})
+    return out
 
 
 def document_terms(index: TextIndex, queries: DataFrame, text: str = "text", query_id: str = "query_id") -> DataFrame:
@@ -69,8 +71,7 @@ def document_terms(index: TextIndex, queries: DataFrame, text: str = "text", que
 
 def _hits(index: TextIndex, terms: DataFrame) -> DataFrame:
     """query_id, term, qf, frame_id, tf, df for terms of the dictionary."""
-    wanted = terms.select("term").distinct()
-    postings = index.postings.join(wanted, "term", "left_semi")
+    postings = index.of_terms(terms)
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = terms.join(df, "term")
     return index.active(postings).join(known, "term")
@@ -82,8 +83,7 @@ def _idf(index: TextIndex) -> Column:
 
 def _query_side(index: TextIndex, terms: DataFrame, weight: Column) -> DataFrame:
     """query_id, qnorm: over the query's terms that the dictionary has."""
-    wanted = terms.select("term").distinct()
-    df = index.postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = index.of_terms(terms).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return terms.join(df, "term").withColumn("w", weight).groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"), F.count(F.lit(1)).alias("qn"))
 
 
@@ -152,22 +152,22 @@ def register_scorer(name: str, score: Callable[[TextIndex, DataFrame, Scorer], D
     SCORERS[name] = score
 
 
-def top(scores: DataFrame, k: int | None) -> DataFrame:
-    """The k best frames of each query by rounded score, then frame; zeros drop out, negative scores stay."""
-    kept = scores.withColumn("score", F.round("score", DIGITS)).where(F.col("score") != 0)
+def top(scores: DataFrame, k: int | None, digits: int | None = None) -> DataFrame:
+    """The k best frames of each query by score, then frame; zeros drop out, negative scores stay."""
+    kept = scores.where(F.col("score") != 0) if digits is None else scores.withColumn("score", F.round("score", digits)).where(F.col("score") != 0)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "frame_id")
     ranked = kept.withColumn("rank", F.row_number().over(order))
     ranked = ranked if k is None else ranked.where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "frame_id", "score")
 
 
-def search(index: TextIndex, queries: dict | DataFrame, scorer: Scorer, k: int | None = 10, scope: DataFrame | None = None) -> DataFrame:
+def search(index: TextIndex, queries: dict | DataFrame, scorer: Scorer, k: int | None = 10, scope: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """query_id, rank, frame_id, score.  queries: texts or tokens by id, or rows of document_terms().  scope: frame_id."""
     terms = query_terms(index, queries) if isinstance(queries, dict) else queries
     scores = SCORERS[scorer.name](index, terms, scorer)
     if scope is not None:
         scores = scores.join(scope.select("frame_id"), "frame_id", "left_semi")
-    return top(scores, BM25_DEFAULT_TOP if k is None and scorer.name == "bm25" else k)
+    return top(scores, BM25_DEFAULT_TOP if k is None and scorer.name == "bm25" else k, digits)
 
 
 def water_fill(df: dict[str, int], n_docs: int, budget: int) -> dict[str, int]:
@@ -183,7 +183,7 @@ def water_fill(df: dict[str, int], n_docs: int, budget: int) -> dict[str, int]:
     return out
 
 
-def approximate_search(index: TextIndex, query, scorer: Scorer, k: int, channel_k: int) -> DataFrame:
+def approximate_search(index: TextIndex, query, scorer: Scorer, k: int, channel_k: int, digits: int | None = None) -> DataFrame:
     """Votes from the best postings of each term choose a pool of 4 k frames, which is then scored exactly."""
     terms = query_terms(index, {0: query})
     wanted = [r[0] for r in terms.select("term").distinct().collect()]
@@ -191,14 +191,14 @@ def approximate_search(index: TextIndex, query, scorer: Scorer, k: int, channel_
     df = {r[0]: r[1] for r in found.groupBy("term").count().collect()}
     budget = water_fill(df, index.stats.n_docs, channel_k * max(1, len(df)))
     if not budget:
-        return top(SCORERS[scorer.name](index, terms, scorer), k)
+        return top(SCORERS[scorer.name](index, terms, scorer), k, digits)
     limits = found.sparkSession.createDataFrame(list(budget.items()), "term string, most int")
     order = Window.partitionBy("term").orderBy(F.desc("tf"), "frame_id")
     read = index.active(found).withColumn("r", F.row_number().over(order)).join(F.broadcast(limits), "term").where("r <= most")
     votes = SCORERS[scorer.name](TextIndexView(index, read.select("term", "frame_id", "tf"), df), terms, scorer)
     pool = top(votes, POOL * k).select("frame_id")
     exact = SCORERS[scorer.name](index, terms, scorer).join(F.broadcast(pool), "frame_id", "left_semi")
-    return top(exact, k)
+    return top(exact, k, digits)
 
 
 class TextIndexView(TextIndex):

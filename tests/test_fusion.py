@@ -16,11 +16,11 @@ def rows(df):
 
 
 @pytest.mark.parametrize("profile, channels, expected", [
-    (X.FusionProfile((1, 0, 0, 1)), {"bm25": {1: 5.0, 2: 1.0}, "vector": {1: 0.1, 2: 0.5}}, [(1, 4.9), (2, 0.5)]),
-    (X.FusionProfile((1, 0, 0, 0), X.MINMAX), {"bm25": {1: 10.0, 2: 5.0, 3: 0.0}}, [(1, 1.0), (2, 0.5), (3, 0.0)]),
-    (X.FusionProfile((1, 0, 0, 1), X.RRF), {"bm25": {1: 100.0, 2: 50.0}, "vector": {1: 0.9, 2: 0.1}}, [(1, 1 / 61 + 1 / 62), (2, 1 / 61 + 1 / 62)]),
-    (X.FusionProfile((0, 0, 0, 1)), {"bm25": {2: 99.0}, "vector": {1: 0.5}}, [(1, -0.5)]),
-    (X.FusionProfile((1, 0, 0, 0), X.MINMAX), {"bm25": {1: 3.0, 2: 3.0}}, [(1, 0.0), (2, 0.0)]),
+    (X.FusionProfile((1, 0, 0, 1)), {"bm25": {4: 2.0, 9: 7.5, 11: 3.0}, "vector": {4: 1.25, 9: 0.5, 11: 2.0}}, [(9, 7.0), (11, 1.0), (4, 0.75)]),
+    (X.FusionProfile((1, 0, 0, 0), X.MINMAX), {"bm25": {3: 2.0, 5: 4.0, 8: 12.0, 13: 7.0}}, [(8, 1.0), (13, 0.5), (5, 0.2), (3, 0.0)]),
+    (X.FusionProfile((1, 0, 0, 1), X.RRF), {"bm25": {7: 6.0, 2: 4.0, 5: 1.0}, "vector": {5: 0.2, 7: 0.3}}, [(7, 1 / 61 + 1 / 62), (5, 1 / 63 + 1 / 61), (2, 1 / 62)]),
+    (X.FusionProfile((0, 0, 0, 1)), {"bm25": {6: 8.0}, "vector": {3: 0.25, 9: 1.5}}, [(3, -0.25), (9, -1.5)]),
+    (X.FusionProfile((1, 0, 0, 0), X.MINMAX), {"bm25": {14: 0.5, 21: 0.5, 30: 0.5}}, [(14, 0.0), (21, 0.0), (30, 0.0)]),
 ])
 def test_profiles(spark, profile, channels, expected):
     got = rows(X.fuse(profile, {k: ch(spark, v) for k, v in channels.items()}))
@@ -28,8 +28,8 @@ def test_profiles(spark, profile, channels, expected):
 
 
 def test_zscores_are_finite(spark):
-    got = rows(X.fuse(X.FusionProfile((1, 0, 0, 1), X.ZSCORE), {"bm25": ch(spark, {1: 100.0, 2: 50.0, 3: 1.0}), "vector": ch(spark, {1: 0.5, 2: 0.1, 3: 0.05})}))
-    assert len(got) == 3 and all(math.isfinite(s) for _, s in got)
+    got = rows(X.fuse(X.FusionProfile((1, 0, 0, 1), X.ZSCORE), {"bm25": ch(spark, {5: 2.0, 6: 2.0, 7: 2.0, 8: -4.0}), "vector": ch(spark, {5: 3.0, 8: 3.0})}))
+    assert len(got) == 4 and all(math.isfinite(s) for _, s in got)
 
 
 def test_profile_checks():
