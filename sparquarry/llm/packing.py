@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 END_ID = 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-#: Rests that wait in a task at most; words whose ids a task remembers at most; texts' bytes encoded at once.
-POOL, WORDS, CHUNK = 4096, 300_000, 4 << 20
+#: Rests that wait in a task at most; words whose ids a task remembers at most, and their characters; texts' bytes encoded at once.
+POOL, WORDS, LETTERS, CHUNK = 4096, 300_000, 64, 4 << 20
 
 
 class PieceEncoder:
@@ -125,7 +125,12 @@ class WordCache:
             new = set().union(*split)
         self.learn(list(new))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        out = [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        # texts without spaces are words too; remembered, they would fill the memory
+        for word in new:
+            if len(word) > LETTERS:
+                del self.known[word]
+        return out
 
 
 class Packer:

@@ -526,6 +526,15 @@ def test_word_encoder_is_the_tokenizer(spark, sf_dir):
         assert got.tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_cache_forgets_long_words():
+    cache = packing.WordCache(path())
+    texts = ["".join(chr(0x4E00 + (i * 7 + j) % 2000) for j in range(2000)) + " word" for i in range(40)]
+    got = cache.encode(texts)
+    assert all(x.tolist() == cache.tokenizer.encode(t, add_special_tokens=False).ids for x, t in zip(got, texts))
+    assert sum(len(k) + len(v) for k, v in cache.known.items()) < 1000 and "word" in cache.known
+    assert [x.tolist() for x in cache.encode(texts)] == [x.tolist() for x in got]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(700, 8)).astype(np.float32)
