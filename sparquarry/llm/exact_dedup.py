@@ -168,9 +168,10 @@ def exact_dedup(docs: DataFrame, history_ends: int | None = None) -> DataFrame:
         lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         history_ends = (lo + hi) // 2 if lo is not None else 0
     old = F.coalesce(F.col("doc_id") <= history_ends, F.lit(False))
-    history = materialise(distinct(rows.where(old)), "history")
-    buckets = max(4 * shuffle_partitions(spark), -(-history.count() // BUCKET))
-    groups = resolve(history, distinct(rows.where(~old)), buckets)
+    history, batch = materialise(distinct(rows.where(old)), "history"), materialise(distinct(rows.where(~old)), "batch")
+    # either side may hold nearly all digests
+    buckets = max(4 * shuffle_partitions(spark), -(-max(history.count(), batch.count()) // BUCKET))
+    groups = resolve(history, batch, buckets)
     groups = groups.select("digest", F.col("members").alias("group_size"), F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), "known")
     return rows.join(groups, "digest").select(
         "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "known"
