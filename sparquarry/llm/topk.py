@@ -4,9 +4,10 @@ Vectors are turned into integers and keyed by their nearest pivot and distance t
 it.  Rows sorted by (pivot, distance) are cut into annuli of bounded size: a hot
 cell is simply many annuli, in many tasks.  The index is a table with one packed
 row per annulus and its bounds.  A query first meets the annulus it lies in, which
-gives a threshold; then each block of queries goes through the annuli of each
-shard by falling bound and stops where no query can still gain.  The bounds come
-from the triangle inequality: |q-x| >= |d(q,p) - d(x,p)|, so q.x is at most
+gives a threshold.  Queries of neighbouring cells make a block.  Blocks first meet
+the bounds of annuli alone, without their vectors; only the annuli that some query
+of the block can still gain from are sent to it, and are gone through by falling
+bound until no query can gain.  The bounds come from the triangle inequality: |q-x| >= |d(q,p) - d(x,p)|, so q.x is at most
 (|q|^2 + |x|^2 - gap^2) / 2, and from q.x <= q.p + |q| d(x,p).
 
 Only the pivots (PIVOTS vectors at most, a documented bound) come from a sample;
@@ -26,19 +27,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_partitions
 
-#: Pivots; vectors in an annulus; queries in a block; bytes of vectors in a shard.
-PIVOTS, ANNULUS, QUERIES, SHARD_BYTES = 64, 256, 1024, 8 << 20
+#: Pivots; vectors in an annulus; queries in a block; bytes of vectors in a shard; annuli whose bounds meet a block of queries at once.
+PIVOTS, ANNULUS, QUERIES, SHARD_BYTES, BOUNDS = 64, 256, 1024, 8 << 20, 4096
 #: Up to here sums of products are exact in doubles.
 EXACT = 2.0**53
 
 KEYED = "dim int, cell int, dist double, vec_id long, vec binary"
-BLOCK = "dim int, cell int, near double, far double, norm double, n int, ids binary, vecs binary"
-QUERY = "qblock int, dim int, n int, ids binary, vecs binary, least binary"
+BLOCK = "annulus long, dim int, cell int, near double, far double, norm double, n int, ids binary, vecs binary"
+QUERY = "qblock long, dim int, n int, ids binary, vecs binary, least binary"
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,6 +80,7 @@ def _key(pivots: dict[int, np.ndarray]):
 
 def _pack(most: int):
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        annulus = TaskContext.get().partitionId() << 40
         for frame in frames:
             new = np.flatnonzero(np.r_[True, (frame[["dim", "cell"]].to_numpy()[1:] != frame[["dim", "cell"]].to_numpy()[:-1]).any(1)]) if len(frame) else []
             rows = []
@@ -86,8 +89,9 @@ def _pack(most: int):
                     part = frame.iloc[at : min(end, at + most)]
                     vecs = np.frombuffer(b"".join(part["vec"]), "<i8").reshape(len(part), -1)
                     norm = float(np.sqrt((vecs.astype(np.float64) ** 2).sum(1)).max())
-                    rows.append((int(part["dim"].iloc[0]), int(part["cell"].iloc[0]), float(part["dist"].iloc[0]), float(part["dist"].iloc[-1]), norm, len(part), part["vec_id"].to_numpy("<i8").tobytes(), vecs.tobytes()))
-            yield pd.DataFrame(rows, columns=["dim", "cell", "near", "far", "norm", "n", "ids", "vecs"])
+                    rows.append((annulus, int(part["dim"].iloc[0]), int(part["cell"].iloc[0]), float(part["dist"].iloc[0]), float(part["dist"].iloc[-1]), norm, len(part), part["vec_id"].to_numpy("<i8").tobytes(), vecs.tobytes()))
+                    annulus += 1
+            yield pd.DataFrame(rows, columns=["annulus", "dim", "cell", "near", "far", "norm", "n", "ids", "vecs"])
 
     return pack
 
@@ -132,18 +136,40 @@ def _queries(every: int, k: int):
     def queries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for dim, ids, vecs in zip(frame["dim"], frame["ids"], frame["vecs"]):
+            for dim, cell, ids, vecs in zip(frame["dim"], frame["cell"], frame["ids"], frame["vecs"]):
                 ids, vecs = np.frombuffer(ids, "<i8"), np.frombuffer(vecs, "<i8").reshape(-1, dim)
                 for at in np.flatnonzero(ids % every == 0):
                     other = ids != ids[at]
                     scores = dot(vecs[at : at + 1], vecs[other])[0] if other.any() else np.zeros(0, np.int64)
                     least = int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else LOWEST
-                    rows.append((dim, int(ids[at]), vecs[at].tobytes(), least))
-            yield pd.DataFrame(rows, columns=["dim", "vec_id", "vec", "least"])
+                    rows.append((dim, cell, int(ids[at]), vecs[at].tobytes(), least))
+            yield pd.DataFrame(rows, columns=["dim", "cell", "vec_id", "vec", "least"])
 
     return queries
 
 
+def _deal(sizes: dict[tuple[int, int], int], pivots: dict[int, np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """(dim, cell, first block, number of blocks): each cell after its nearest one not yet dealt, small ones together."""
+    out, block = [], 0
+    for dim in sorted({d for d, _ in sizes}):
+        left, p, held = sorted(c for d, c in sizes if d == dim), pivots[dim].astype(np.float64), 0
+        at = left[0]
+        while left:
+            left.remove(at)
+            n = sizes[dim, at]
+            if held and held + n > QUERIES:
+                block, held = block + 1, 0
+            blocks = -(-n // QUERIES)
+            out.append((dim, at, block, blocks))
+            if blocks > 1:
+                block, held = block + blocks, 0
+            else:
+                held += n
+            at = min(left, key=lambda c: (((p[c] - p[at]) ** 2).sum(), c), default=at)
+        block += held > 0
+    return out
+
+
 def _block_queries(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("vec_id")
     return pd.DataFrame({"qblock": [int(pdf["qblock"].iloc[0])], "dim": [int(pdf["dim"].iloc[0])], "n": [len(pdf)], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "vecs": [b"".join(pdf["vec"])], "least": [pdf["least"].to_numpy("<i8").tobytes()]})
@@ -159,6 +185,24 @@ def bounds(q: np.ndarray, norms: np.ndarray, pivots: np.ndarray, near: float, fa
     return np.minimum(np.minimum(by_triangle, by_pivot), norms * norm) * (1 + 1e-9) + 1e-3
 
 
+def _near(pivots: dict[int, np.ndarray]):
+    """The annuli that a query of the block can gain from, by their bounds."""
+
+    def near(queries: pd.DataFrame, annuli: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"annulus": np.zeros(0, np.int64), "qblock": np.zeros(0, np.int64)})]
+        for _, block in queries.iterrows():
+            dim = int(block["dim"])
+            q, least = np.frombuffer(block["vecs"], "<i8").reshape(-1, dim).astype(np.float64), np.frombuffer(block["least"], "<i8")
+            norms = np.sqrt((q**2).sum(1))
+            some = annuli[annuli["dim"] == dim]
+            hit = [bool((bounds(q, norms, pivots[dim], a.near, a.far, a.norm, a.cell) >= least).any()) for a in some.itertuples()]
+            found = some["annulus"].to_numpy(np.int64)[np.array(hit, bool)]
+            out.append(pd.DataFrame({"annulus": found, "qblock": np.full(len(found), int(block["qblock"]))}))
+        return pd.concat(out, ignore_index=True)
+
+    return near
+
+
 def _search(pivots: dict[int, np.ndarray], k: int):
     def search(queries: pd.DataFrame, annuli: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -197,14 +241,27 @@ def _search(pivots: dict[int, np.ndarray], k: int):
 def search(index: Index, every: int, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every row whose id is divisible by every, against all other rows."""
     blocks, spark = index.blocks, index.blocks.sparkSession
-    queries = materialise(blocks.select("dim", "ids", "vecs").mapInPandas(_queries(every, k), "dim int, vec_id long, vec binary, least long"), "queries")
-    total, size = queries.count(), blocks.agg(F.coalesce(F.sum(F.octet_length("vecs")), F.lit(0))).first()[0]
-    qblocks = max(1, -(-total // QUERIES))
+    queries = materialise(blocks.select("dim", "cell", "ids", "vecs").mapInPandas(_queries(every, k), "dim int, cell int, vec_id long, vec binary, least long"), "queries")
+    # one row for each pivot that has queries: PIVOTS for each length of vectors at most
+    sizes = {(r["dim"], r["cell"]): r["count"] for r in queries.groupBy("dim", "cell").count().collect()}
+    dealt = spark.createDataFrame(_deal(sizes, index.pivots), "dim int, cell int, first long, blocks long")
+    dealt = queries.join(F.broadcast(dealt), ["dim", "cell"]).withColumn("qblock", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    packed = materialise(dealt.select("qblock", "dim", "vec_id", "vec", "least").groupBy("qblock", "dim").applyInPandas(_block_queries, QUERY), "qblocks")
+    n_blocks = packed.agg(F.coalesce(F.max("qblock"), F.lit(0))).first()[0] + 1
+    n_annuli, size = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("vecs")), F.lit(0))).first()
+    found = survivors(index, packed, n_blocks, n_annuli)
     shards = int(max(2 * shuffle_partitions(spark), -(-size // SHARD_BYTES)))
-    dealt = queries.withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(qblocks)).cast("int"))
-    packed = materialise(dealt.groupBy("qblock", "dim").applyInPandas(_block_queries, QUERY), "qblocks")
     left = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = blocks.withColumn("shard", F.pmod(F.xxhash64("cell", "near", "far", "ids"), F.lit(shards)).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
+    right = blocks.join(found, "annulus").withColumn("shard", F.pmod(F.xxhash64("annulus"), F.lit(shards)).cast("int"))
     found = left.groupBy("qblock", "shard").cogroup(right.groupBy("qblock", "shard")).applyInPandas(_search(index.pivots, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def survivors(index: Index, packed: DataFrame, n_blocks: int, n_annuli: int) -> DataFrame:
+    """annulus, qblock: the pairs that bounds do not exclude.  Some 50 bytes of an annulus are sent for each block of queries."""
+    parts = max(1, -(-n_annuli // BOUNDS))
+    left = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = index.blocks.select("annulus", "dim", "cell", "near", "far", "norm").withColumn("part", F.pmod(F.xxhash64("annulus"), F.lit(parts)).cast("int"))
+    right = right.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    return left.groupBy("qblock", "part").cogroup(right.groupBy("qblock", "part")).applyInPandas(_near(index.pivots), "annulus long, qblock long")
