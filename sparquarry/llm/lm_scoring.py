@@ -25,6 +25,10 @@ words and histories.  It sends back by how much a document's losses change, summ
 per document.  Traffic follows the number of pairs, and no task holds more than a
 bucket.
 
+Texts stay where they lie: the ids of target documents, as a set of 65,536-id chunks,
+are broadcast while that set, counted first, has at most IDS bytes (a bit per document
+where ids are dense).  Beyond that rows are merged with the ids instead.
+
 With bits= words and histories are counted by 2**bits hash classes instead, all of
 them broadcast.
 
@@ -51,6 +55,8 @@ from .words import LOWER, chunks, prefix_hash, slice_hash, words
 FREQUENT, MASS = 16, 20.0
 #: Pairs of a bucket on average; pairs gathered before blocks are sent on.
 BUCKET, FLUSH = 1 << 20, 1 << 20
+#: Bytes of the broadcast set of target ids at most.
+IDS = 32 << 20
 START = 0
 
 
@@ -69,13 +75,59 @@ def pairs(of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, mix64(before * np.uint64(0x9E3779B97F4A7C15) + h)
 
 
+class Ids:
+    """A set of ids by chunks of 65,536: the lower 16 bits of a few, or a bit for each."""
+
+    FEW, CHUNK = 4096, 1 << 16
+    SCHEMA = "chunk long, ids binary"
+
+    def __init__(self, rows: list):
+        self.chunks = np.array(sorted(r["chunk"] for r in rows), np.int64)
+        self.parts = [bytes(r["ids"]) for r in sorted(rows, key=lambda r: r["chunk"])]
+
+    @classmethod
+    def pack(cls, pdf: pd.DataFrame) -> pd.DataFrame:
+        low = np.unique(pdf["doc_id"].to_numpy(np.int64) & (cls.CHUNK - 1))
+        if len(low) > cls.FEW:
+            low = np.packbits(np.bincount(low, minlength=cls.CHUNK).astype(bool))
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "ids": [low.astype(np.uint8 if low.dtype == np.uint8 else np.uint16).tobytes()]})
+
+    @classmethod
+    def of(cls, ids: DataFrame) -> DataFrame:
+        """ids: doc_id, different ones and none null; so a group has a chunk's ids at most."""
+        return ids.withColumn("chunk", F.shiftright("doc_id", 16)).groupBy("chunk").applyInPandas(lambda pdf: cls.pack(pdf), cls.SCHEMA)
+
+    def holds(self, ids: pa.Array) -> np.ndarray:
+        values, valid = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(values), bool)
+        chunks, which = np.unique(values >> 16, return_inverse=True)
+        places = np.searchsorted(self.chunks, chunks)
+        order, ends = np.argsort(which, kind="stable"), np.cumsum(np.bincount(which, minlength=len(chunks)))
+        for i, (chunk, place) in enumerate(zip(chunks, places)):
+            if place == len(self.chunks) or self.chunks[place] != chunk:
+                continue
+            at = order[ends[i - 1] if i else 0 : ends[i]]
+            low, part = values[at] & (self.CHUNK - 1), self.parts[place]
+            if len(part) == self.CHUNK // 8:
+                bits = np.frombuffer(part, np.uint8)
+                out[at] = (bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1
+            else:
+                few = np.frombuffer(part, np.uint16)
+                out[at] = few[np.minimum(np.searchsorted(few, low), len(few) - 1)] == low
+        return out & valid
+
+
+def _flags(batch: pa.RecordBatch, ids: Ids | None) -> np.ndarray:
+    return ids.holds(batch.column("doc_id")) if ids else batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+
+
 def _summed(held: list) -> list:
     names, counts = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held], axis=1)
     names, at = np.unique(names, return_inverse=True)
     return [(names, np.stack([np.bincount(at, c, len(names)).astype(np.int64) for c in counts]))]
 
 
-def _unigrams(bits: int | None):
+def _unigrams(bits: int | None, ids: Ids | None):
     def rows(names: np.ndarray, counts: np.ndarray, texts: bool) -> pa.RecordBatch:
         columns = [pa.array(names.view(np.int64)), pa.array(counts[0]), pa.array(counts[1]), pa.array(np.full(len(names), texts))]
         return pa.RecordBatch.from_arrays(columns, names=["name", "target", "background", "texts"])
@@ -84,7 +136,7 @@ def _unigrams(bits: int | None):
         held, size, texts = [], 0, np.zeros((2, 1), np.int64)
         for batch in batches:
             data, offsets = utf8_column(batch.column("text"))
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+            target = _flags(batch, ids)
             for a, b in chunks(offsets):
                 of, _, name = classes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
                 per = np.bincount(of, minlength=b - a) > 0
@@ -160,11 +212,26 @@ def _wide(parts: pd.Series) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Numbers, most of them small, in a byte each: one byte of 255 for each 255, then the rest."""
+    whole, rest = np.divmod(x, 255)
+    ends = np.cumsum(whole + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = rest
+    return out.tobytes()
+
+
+def _sums(raw: bytes) -> np.ndarray:
+    """The running sums of the numbers of _small()."""
+    steps = np.frombuffer(raw, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+
+
 def _bits(parts: pd.Series, lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n in zip(parts, lengths)]).astype(bool)
 
 
-def _send(unigrams: Unigrams, bits: int | None, buckets: int):
+def _send(unigrams: Unigrams, bits: int | None, buckets: int, targets: Ids | None = None):
     """Blocks of (document, pair), and for each origin one row with the losses of its documents as if all pairs were new."""
 
     def flush(held: list, origin: int) -> Iterator[pa.RecordBatch]:
@@ -175,8 +242,8 @@ def _send(unigrams: Unigrams, bits: int | None, buckets: int):
         start = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | ((cls[1:] < 0) != (cls[:-1] < 0))])
         rows = []
         for s, e in zip(start, [*start[1:], len(keys)]):
-            steps = np.diff(at[s:e], prepend=0).astype(np.uint32).tobytes()
-            how = (times[s:e].astype(np.uint32).tobytes(), np.packbits(target[s:e]).tobytes(), _short(keys[s:e] // np.uint64(buckets)), None)
+            steps = _small(np.diff(at[s:e], prepend=0))
+            how = (_small(times[s:e]), np.packbits(target[s:e]).tobytes(), _short(keys[s:e] // np.uint64(buckets)), None)
             if cls[s] < 0:
                 rows.append((int(bucket[s]), origin, steps, None, _short(names[s:e] // np.uint64(buckets)), np.packbits(last[s:e]).tobytes(), *how))
             else:
@@ -191,7 +258,7 @@ def _send(unigrams: Unigrams, bits: int | None, buckets: int):
         origin = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = utf8_column(batch.column("text"))
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+            target = _flags(batch, targets)
             for a, b in chunks(offsets, 6 * FLUSH):
                 base, held = np.zeros(b - a, BASE), []
                 ids = batch.column("doc_id").slice(a, b - a)
@@ -252,7 +319,7 @@ def _gains(unigrams: Unigrams):
     kind = np.uint32 if len(unigrams.names) > 1 << 16 else np.uint16
 
     def falls(some: pd.DataFrame, lengths: np.ndarray, places: np.ndarray, frequent: bool) -> list[np.ndarray]:
-        times = np.frombuffer(b"".join(some["times"]), np.uint32).astype(np.float64)
+        times = np.diff(_sums(b"".join(some["times"])), prepend=0).astype(np.float64)
         target = _bits(some["target"], lengths)
         keys, fall = _wide(some["keys"]), []
         if frequent:
@@ -285,7 +352,7 @@ def _gains(unigrams: Unigrams):
             if not len(some):
                 continue
             lengths = np.array([len(x) // 6 for x in some["keys"]])
-            steps = [np.cumsum(np.frombuffer(x, np.uint32)) for x in some["at"]]
+            steps = [_sums(x) for x in some["at"]]
             fall = falls(some, lengths, np.concatenate(steps), frequent)
             rows, at = [], 0
             for origin, places, n in zip(some["origin"], steps, lengths):
@@ -293,7 +360,7 @@ def _gains(unigrams: Unigrams):
                 if len(hit):
                     docs, where = np.unique(places[hit], return_inverse=True)
                     sums = [np.bincount(where, f[at : at + n][hit]).astype(np.float32).tobytes() for f in fall]
-                    rows.append((int(origin), docs.astype(np.uint32).tobytes(), *sums, None))
+                    rows.append((int(origin), _small(np.diff(docs, prepend=0)), *sums, None))
                 at += n
             out.append(pd.DataFrame(rows, columns=["origin", "at", "target", "background", "base"]))
         return pd.concat(out, ignore_index=True)
@@ -305,7 +372,7 @@ def _sum(frame: pd.DataFrame) -> pd.DataFrame:
     base = np.frombuffer(frame["base"].dropna().iloc[0], BASE).copy()
     for at, t, b in zip(frame["at"], frame["target"], frame["background"]):
         if at is not None:
-            at = np.frombuffer(at, np.uint32)
+            at = _sums(at)
             base["target"][at] -= np.frombuffer(t, np.float32)
             base["background"][at] -= np.frombuffer(b, np.float32)
     ids = pd.array(base["doc_id"], dtype="Int64")
@@ -314,10 +381,10 @@ def _sum(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids, "n_tokens": base["tokens"], "target_loss": base["target"] / n, "background_loss": base["background"] / n, "score": (base["target"] - base["background"]) / n})
 
 
-def count_unigrams(rows: DataFrame, bits: int | None = None) -> Unigrams:
-    """rows: text, target."""
+def count_unigrams(rows: DataFrame, bits: int | None = None, targets: Ids | None = None) -> Unigrams:
+    """rows: text, and target or, with targets, doc_id."""
     parts = shuffle_partitions(rows.sparkSession)
-    counted = rows.select("text", "target").mapInArrow(_unigrams(bits), "name long, target long, background long, texts boolean")
+    counted = rows.select("text", "doc_id" if targets else "target").mapInArrow(_unigrams(bits, targets), "name long, target long, background long, texts boolean")
     counted = counted.repartition(parts, "name", "texts").groupBy("name", "texts").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     # a part has few more than its share of the frequent words; one that is left out is counted in its bucket
     most = None if bits else (2 << FREQUENT) // parts + 1024
@@ -331,15 +398,24 @@ def count_unigrams(rows: DataFrame, bits: int | None = None) -> Unigrams:
     return Unigrams(names[order], found[both].to_numpy(np.int64).T[:, order], tokens, texts, 1 << bits if bits else max(1, int(totals["words"].sum())))
 
 
-def lm_scores(docs: DataFrame, targets: DataFrame, bits: int | None = None) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score for every row.  targets: doc_id of the target documents."""
-    marked = targets.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+def lm_scores(docs: DataFrame, targets: DataFrame, bits: int | None = None, stored: bool = False) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score for every row.  targets: doc_id of the target documents.
+
+    stored: docs is read from files, so that a task that runs again has the same rows
+    in the same order; otherwise docs is written first.
+    """
+    marked = targets.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # merged by id whatever the size: a task's rows then come in the same order when it runs again
-    rows = rows.join(marked.hint("merge"), "doc_id", "left")
-    rows = materialise(rows.withColumn("target", F.coalesce("target", F.lit(False))), "marked", compression="zstd")
-    unigrams = count_unigrams(rows, bits)
+    packed, ids = materialise(Ids.of(marked), "targets"), None
+    if packed.agg(F.coalesce(F.sum(F.octet_length("ids") + 16), F.lit(0))).first()[0] <= IDS:
+        ids = Ids(packed.collect())
+        rows = rows if stored else materialise(rows, "texts", compression="zstd")
+    else:
+        # merged by id: a task's rows then come in the same order when it runs again
+        rows = rows.join(marked.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
+        rows = materialise(rows.withColumn("target", F.coalesce("target", F.lit(False))), "marked", compression="zstd")
+    unigrams = count_unigrams(rows, bits, ids)
     buckets = int(max(2 * shuffle_partitions(docs.sparkSession), -(-int(unigrams.tokens[1]) // BUCKET)))
-    sent = rows.mapInArrow(_send(unigrams, bits, buckets), ENTRY)
+    sent = rows.mapInArrow(_send(unigrams, bits, buckets, ids), ENTRY)
     back = sent.groupBy("bucket").applyInPandas(_gains(unigrams), "origin long, at binary, target binary, background binary, base binary")
     return back.groupBy("origin").applyInPandas(_sum, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -43,7 +43,7 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
-    return lm_scoring.lm_scores(read(spark, sf_dir, "documents"), labels.where("quality = 1 AND toxic = 0"))
+    return lm_scoring.lm_scores(read(spark, sf_dir, "documents"), labels.where("quality = 1 AND toxic = 0"), stored=True)
 
 
 def op9_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:

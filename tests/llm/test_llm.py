@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,9 +288,27 @@ def test_lm_scores(spark, docs, rows, none):
     assert again.count() == 2 * len(rows)
 
 
+def test_small_numbers():
+    x = np.array([0, 0, 1, 254, 255, 256, 510, 3, 70_000, 0])
+    assert lm_scoring._sums(lm_scoring._small(x)).tolist() == np.cumsum(x).tolist() and lm_scoring._small(x[:3]) == bytes([0, 0, 1])
+    assert lm_scoring._small(x[:0]) == b"" and lm_scoring._sums(b"").tolist() == []
+
+
+def test_sets_of_ids(spark):
+    """Few and many ids of a chunk, negative ones, the ends of chunks, nulls."""
+    some = [*range(0, 20_000, 3), 65_535, 65_536, 70_000, -1, -65_537, 2**62, -(2**63), 2**63 - 1]
+    rows = lm_scoring.Ids.of(spark.createDataFrame([(i,) for i in some], "doc_id long")).collect()
+    assert {len(r["ids"]) for r in rows if r["chunk"] == 0} == {8192} and sum(len(r["ids"]) == 8192 for r in rows) == 1
+    ids = lm_scoring.Ids(rows)
+    asked = [*some, None, 1, 65_534, 65_537, -2, -65_536, 2**62 + 1, 2**61, 0, None]
+    assert ids.holds(pa.array(asked, pa.int64())).tolist() == [i is not None and i in set(some) for i in asked]
+    assert not lm_scoring.Ids([]).holds(pa.array([0, None], pa.int64())).any()
+
+
 @pytest.mark.parametrize("frequent", (16, 7, 0))
 def test_lm_scores_of_real_words(spark, docs, rows, frequent, monkeypatch):
-    """Words and histories are counted each for itself, broadcast or not."""
+    """Words and histories are counted each for itself, broadcast or not; so are the ids of targets."""
+    monkeypatch.setattr(lm_scoring, "IDS", 32 << 20 if frequent else 0)
     monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
     more = [(500 + i, " ".join(f"r{(i * 3000 + j) % 70_000}" for j in range(3500))) for i in range(24)]
     some = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
@@ -535,7 +554,10 @@ def test_word_cache_forgets_long_words():
     assert [x.tolist() for x in cache.encode(texts)] == [x.tolist() for x in got]
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("together, of_bounds", [(1024, 4096), (3, 4)])
+def test_top_k(spark, together, of_bounds, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", together)
+    monkeypatch.setattr(topk, "BOUNDS", of_bounds)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(700, 8)).astype(np.float32)
     x[100:400] = x[100]  # one vector holds much of the table
@@ -553,6 +575,27 @@ def test_top_k(spark):
     assert topk.search(topk.build_index(df.limit(0)), 50, 5).collect() == []
 
 
+def test_blocks_of_queries_by_cell(monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 10)
+    pivots = {2: np.array([[0, 0], [9, 9], [1, 0], [2, 0]]), 3: np.zeros((1, 3))}
+    sizes = {(2, 0): 4, (2, 1): 25, (2, 2): 5, (2, 3): 6, (3, 0): 1}
+    assert topk._deal(sizes, pivots) == [(2, 0, 0, 1), (2, 2, 0, 1), (2, 3, 1, 1), (2, 1, 2, 3), (3, 0, 5, 1)]
+    assert topk._deal({}, {}) == []
+
+
+def test_far_annuli_are_not_sent(spark):
+    """Vectors in six far clusters, each with pivots of its own: a block of queries of one cluster gets the annuli of that cluster alone."""
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=6) * 0.01 + 100 * np.eye(6)[i // 100]).tolist()) for i in range(600)]
+    index = topk.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), pivots=64, annulus=16)
+    q = np.floor(256 * np.array(rows[0][1], np.float32).astype(float)).astype("<i8")
+    packed = spark.createDataFrame([(0, 6, 1, np.int64(0).tobytes(), q.tobytes(), np.int64(int(0.9 * (q @ q))).tobytes())], topk.QUERY)
+    annuli = {r["annulus"]: set(np.frombuffer(r["ids"], "<i8") // 100) for r in index.blocks.collect()}
+    assert len({tuple(p.argsort()[-1:]) for p in index.pivots[6]}) == 6
+    found = {r["annulus"] for r in topk.survivors(index, packed, 1, len(annuli)).collect()}
+    assert found == {a for a, clusters in annuli.items() if 0 in clusters} and len(found) < len(annuli) / 2
+
+
 def test_words_as_arrays():
     texts = ["", " a  bc\n", "é\x0bd", "x" * 70]
     raw = [t.encode() for t in texts]
