@@ -146,21 +146,21 @@ class Packer:
         """Numbers the classes of demand anew."""
         self.stacks = list(stacks.values())
         self.classes = {k: i for i, k in enumerate(stacks)}
-        self.need = np.zeros((max(256, 2 * len(stacks)), 3))
-        self.filled = np.zeros(len(self.need), bool)
+        self.need = np.zeros((3, max(256, 2 * len(stacks))))
+        self.filled = np.zeros(self.need.shape[1], bool)
         for (tokens, loss), i in self.classes.items():
-            self.need[i], self.filled[i] = np.array([tokens, 1, loss]) / self.most, True
+            self.need[:, i], self.filled[i] = np.array([tokens, 1, loss]) / self.most, True
 
     def add(self, piece: tuple) -> None:
         """piece: doc_id, start, ids, loss mask or None (all bear loss), tokens of the document."""
         ids, mask = piece[2], piece[3]
         key = (len(ids), len(ids) if mask is None else int(mask.sum()))
-        if key not in self.classes and len(self.stacks) == len(self.need):
+        if key not in self.classes and len(self.stacks) == self.need.shape[1]:
             self.reset({k: self.stacks[i] for k, i in self.classes.items() if self.stacks[i]})
         at = self.classes.setdefault(key, len(self.stacks))
         if at == len(self.stacks):
             self.stacks.append([])
-            self.need[at] = np.array([key[0], 1, key[1]]) / self.most
+            self.need[:, at] = np.array([key[0], 1, key[1]]) / self.most
         self.stacks[at].append(piece)
         self.filled[at] = True
         self.n, self.left = self.n + 1, self.left + len(ids)
@@ -168,9 +168,11 @@ class Packer:
     def take(self, room: np.ndarray) -> tuple[tuple, bool]:
         """A piece of the class of demand with the largest dot product among those that fit whole, else among all."""
         m = len(self.stacks)
-        need, share = self.need[:m], room / self.most
-        score = np.where(self.filled[:m], need @ share, -1)
-        fits = self.filled[:m] & (need <= share + 1e-12).all(1)
+        need, share = self.need[:, :m], room / self.most
+        score = np.where(self.filled[:m], share @ need, -1)
+        fits = self.filled[:m].copy()
+        for row, most in zip(need, (share + 1e-12).tolist()):
+            fits &= row <= most
         whole = bool(fits.any())
         at = int(np.where(fits, score, -1).argmax() if whole else score.argmax())
         piece = self.stacks[at].pop()
