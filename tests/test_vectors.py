@@ -137,3 +137,15 @@ def test_batches_follow_sql_on_odd_vectors(spark, metric):
         for qid in want:
             assert [i for i, _ in got[qid]] == [i for i, _ in want[qid]], (metric, qid)
             assert all(a == b or abs(a - b) < 2e-6 for (_, a), (_, b) in zip(got[qid], want[qid]) if not isinstance(b, (str, type(None)))) and all(a == b for (_, a), (_, b) in zip(got[qid], want[qid]) if isinstance(b, (str, type(None))))
+
+
+def test_codec_recall_makes_no_rows_of_pairs(spark, tmp_path):
+    """Zero and null vectors are no error, and no operator of the plan gives a row for each pair."""
+    from sparquarry.queries import QUERIES
+
+    x = [v.tolist() for v in unit(400, seed=8)] + [[0.0] * 64, None]
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["codec_recall"](spark, str(tmp_path))
+    rows = {r["query_id"]: r["recall"] for r in found.collect()}
+    assert sorted(rows) == list(range(0, 401, 20)) and sum(rows.values()) / len(rows) > 0.9
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
